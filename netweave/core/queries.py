@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.core import compaction, nested
+from netweave.core import compaction, drift, nested, orphans
 from netweave.session import table
 
 
@@ -19,5 +19,62 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds.select("record_id", "face_pos", "round_pos", "phase")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "sink_files"))
+
+
+def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.type_files(table(spark, sf_dir, "sink_files"))
+
+
+def _p4_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("certificate_sweep", "flows_manifest", "flow_directories")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.orphans(*_p4_tables(spark, sf_dir))
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.orphan_counts(*_p4_tables(spark, sf_dir))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_types": p3_types,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
+}
+
+_LINES_SQL = """
+lines as (select sink, file_id, written_at, i as line_no, trim(ltrim(string_split(coalesce(body, ''), chr(10))[i], chr(65279)), ' ' || chr(9) || chr(13)) as line
+          from sink_files, unnest(range(1, len(string_split(coalesce(body, ''), chr(10))) + 1)) u(i)),
+records as (select sink, file_id, written_at, line_no, line from lines where line like '{%' and json_valid(line))"""
+
+_P4_SQL = r"""
+with d as (select regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(directory)), '', '/'), '/+', '/', 'g'), '^(\./)+', ''), '^/|/$', '', 'g') k, opened_at s, coalesce(closed_at, timestamp '9999-12-31') e from flow_directories),
+m as (select lower(regexp_replace(trim(flow_file), '^.*[/\\]', '')) k, regexp_extract(lower(trim(flow_sha256)), '^(?:sha-?256[:=])?\s*([0-9a-f]{16})', 1) g, listed_at s, coalesce(removed_at, timestamp '9999-12-31') e from flows_manifest),
+c as (select record_id, lower(regexp_replace(trim(flow_file), '^.*[/\\]', '')) k, regexp_extract(lower(trim(flow_sha256)), '^(?:sha-?256[:=])?\s*([0-9a-f]{16})', 1) g, recorded_at t from certificate_sweep where flow_file is not null),
+f as (select c.record_id, c.t, c.g, count(m.k) n, coalesce(bool_or(m.s <= c.t and m.e > c.t), false) good, coalesce(bool_or(m.s <= c.t), false) had,
+        coalesce(bool_or(m.s <= c.t and m.e > c.t and m.g = c.g), false) right_digest, coalesce(bool_or(m.g = c.g), false) some_digest
+      from c left join m on c.k = m.k group by all),
+p as (select a.entry_id, a.listed_at t, count(d.k) n, coalesce(bool_or(d.s <= a.listed_at and d.e > a.listed_at), false) good, coalesce(bool_or(d.s <= a.listed_at), false) had
+      from flows_manifest a left join d on regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(a.directory)), '', '/'), '/+', '/', 'g'), '^(\./)+', ''), '^/|/$', '', 'g') = d.k
+      where a.directory is not null group by all),
+found as (
+  select 'certificate_sweep' src_table, record_id row_id, 'flow_file' field, case when n = 0 then 'missing' when had then 'deleted' else 'late' end status, t from f where not good
+  union all select 'certificate_sweep', record_id, 'flow_sha256', case when some_digest then 'deleted' else 'missing' end, t from f where good and g is not null and not right_digest
+  union all select 'flows_manifest', entry_id, 'directory', case when n = 0 then 'missing' when had then 'deleted' else 'late' end, t from p where not good)
+"""
+
+SQL = {
+    "p3_types": f"""with {_LINES_SQL},
+k as (select file_id, line, unnest(json_keys(line)) field from records),
+t as (select file_id, field, case json_type(line, '$."' || field || '"') when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end json_type from k),
+d as (select distinct * from t)
+select field, json_type, count(*) n_files from d a where json_type <> 'null' or not exists (select 1 from d b where b.file_id = a.file_id and b.field = a.field and b.json_type <> 'null') group by all""",
+    "p4_found": _P4_SQL + "select src_table, row_id, field, status from found",
+    "p4_counts": _P4_SQL + "select src_table, field, status, strftime(t, '%Y-%m') as month, count(*) as n_orphans from found group by all",
+}
