@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.core import compaction, drift, nested, orphans
+from netweave.core import compaction, drift, nested, orphans, profile
 from netweave.session import table
 
 
@@ -39,6 +39,25 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_counts(*_p4_tables(spark, sf_dir))
 
 
+#: What the profile expects of a column, beside its type.
+RULES = {
+    "network": profile.Rule(pattern=r"[A-Z][a-z]+(?:-[A-Z][a-z]+)*"),
+    "gate_revision": profile.Rule(pattern=r"gate_r\d+"),
+    "residual": profile.Rule(0.0, 1.0),
+    "support_changes_final": profile.Rule(0.0, 1e6),
+    "seconds": profile.Rule(0.0, 864000.0),
+    "conservation_max": profile.Rule(0.0, 1e-6),
+}
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.found(spark, f"{sf_dir}/corpus_sweep.parquet")
+
+
+def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(spark, f"{sf_dir}/corpus_sweep.parquet", RULES).drop("n_scanned", "n_chunks")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -46,6 +65,8 @@ QUERIES = {
     "p3_types": p3_types,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_profile": p5_profile,
 }
 
 _LINES_SQL = """
@@ -69,7 +90,24 @@ found as (
   union all select 'flows_manifest', entry_id, 'directory', case when n = 0 then 'missing' when had then 'deleted' else 'late' end, t from p where not good)
 """
 
+#: Columns of corpus_sweep by kind.
+_REAL = ["mu", "residual", "conservation_max", "support_changes_final", "budget_seconds", "seconds", "peak_rss_mb"]
+_WHOLE = ["record_id", "load_id", "sweep_id", "n_nodes", "n_zones", "n_links", "cores", "iterations", "resumed_from", "converged", "unresolved", "support_measured"]
+_WORDS = ["exhibit", "network", "gate_revision", "stopped_on", "polish_method", "origin"]
+_TIMES = ["recorded_at", "ingested_at"]
+
+
+def _column_sql(c: str) -> str:
+    rule = RULES.get(c)
+    broken = "false" if rule is None else f"not regexp_full_match({c}, '{rule.pattern}')" if rule.pattern else f"{c} < {rule.low} or {c} > {rule.high} or isnan({c})"
+    nan = f"count_if(isnan({c}))" if c in _REAL else "0"
+    number = f"min({c}) filter (not isnan({c}))::double, max({c}) filter (not isnan({c}))::double" if c in _REAL else f"min({c})::double, max({c})::double" if c in _WHOLE else "null::double, null::double"
+    text = f"min({c}), max({c})" if c in _WORDS else f"strftime(min({c}), '%Y-%m-%d %H:%M:%S'), strftime(max({c}), '%Y-%m-%d %H:%M:%S')" if c in _TIMES else "null, null"
+    return f"select '{c}', count(*), count(*) - count({c}), {nan}, count_if({broken}), {number}, {text}, count(distinct {c}) from corpus_sweep"
+
+
 SQL = {
+    "p5_profile": "select * from (" + " union all ".join(map(_column_sql, _REAL + _WHOLE + _WORDS + _TIMES)) + ") t(column_name, n_rows, n_null, n_nan, n_violations, lo, hi, lo_text, hi_text, n_distinct)",
     "p3_types": f"""with {_LINES_SQL},
 k as (select file_id, line, unnest(json_keys(line)) field from records),
 t as (select file_id, field, case json_type(line, '$."' || field || '"') when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end json_type from k),
