@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import consensus, mixing, tokenize
+from netweave.llm import consensus, mixing, pii, tokenize
 from netweave.session import table
 
 
@@ -28,7 +28,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p6_found": p6_found, "p6_representatives": p6_representatives, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_representatives": p6_representatives,
+    "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_masked": p9_masked,
+}
 
 _CELL = "sweep_id, regexp_replace(regexp_replace(lower(network), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g'), printf('%.5e', mu)"
 SQL = {
