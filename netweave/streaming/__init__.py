@@ -1 +1 @@
-
+"""Structured Streaming form of the record sinks."""
