@@ -75,9 +75,9 @@ class SnapshotLog:
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, n_bytes and partition of each Parquet file below path; only the listing is read."""
+    """file, n_bytes and partition of each data file below path; only the listing is read, hidden files are left out."""
     found = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select(F.col("path").alias("file"), F.col("length").alias("n_bytes"))
     )
     return found.withColumn("partition", F.regexp_replace(F.regexp_extract("file", r"((?:/[^/=]+=[^/]*)*)/[^/]+$", 1), "^/", ""))

@@ -22,14 +22,14 @@ def _name():
 
 def read_networks(spark: SparkSession, path: str) -> DataFrame:
     """network and its four header numbers; first_thru is null where the file doesn't tell."""
-    text = spark.read.option("wholetext", "true").text(path).select(_name().alias("network"), "value")
+    text = spark.read.text(path, wholetext=True).select(_name().alias("network"), "value")
     number = lambda tag: F.regexp_extract("value", rf"<{tag}>\s*(\d+)", 1).try_cast("int")
     return text.select("network", *[number(tag).alias(c) for c, tag in TAGS.items()])
 
 
 def read_links(spark: SparkSession, path: str, networks: DataFrame | None = None, fft_floor: float = 0.0) -> DataFrame:
     """Links with 0-based ids in file order; free-flow times below fft_floor are raised between through nodes."""
-    text = spark.read.option("wholetext", "true").text(path).select(_name().alias("network"), F.posexplode(F.split(F.regexp_replace("value", r"(?s)^.*<END OF METADATA>", ""), r"\r?\n")).alias("pos", "line"))
+    text = spark.read.text(path, wholetext=True).select(_name().alias("network"), F.posexplode(F.split(F.regexp_replace("value", r"(?s)^.*<END OF METADATA>", ""), r"\r?\n")).alias("pos", "line"))
     parts = F.split(F.trim(F.regexp_replace(F.regexp_replace("line", ";", " "), r"\s+", " ")), " ")
     get = lambda k, kind: F.get(parts, k).try_cast(kind)
     rows = text.where(~F.col("line").rlike(r"^\s*($|~|<)")).select(
@@ -46,7 +46,7 @@ def read_links(spark: SparkSession, path: str, networks: DataFrame | None = None
 
 def read_demand(spark: SparkSession, path: str, networks: DataFrame) -> DataFrame:
     """network, origin, dest (0-based) and demand; pairs outside the network's zones are dropped."""
-    text = spark.read.option("wholetext", "true").text(path).select(_name().alias("network"), "value")
+    text = spark.read.text(path, wholetext=True).select(_name().alias("network"), "value")
     blocks = text.select("network", F.posexplode(F.split("value", "Origin")).alias("pos", "block")).where("pos > 0")
     pairs = blocks.select("network", "pos", F.regexp_extract("block", r"^\s*(\d+)", 1).try_cast("int").alias("origin"), F.posexplode(F.regexp_extract_all("block", F.lit(r"(\d+)\s*:\s*[0-9.eE+-]+"), F.lit(0))).alias("at", "pair"))
     pairs = pairs.select("network", "pos", "at", "origin", F.regexp_extract("pair", r"^(\d+)", 1).try_cast("int").alias("dest"), F.regexp_extract("pair", r":\s*(\S+)$", 1).try_cast("double").alias("demand"))
