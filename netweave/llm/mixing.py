@@ -32,10 +32,10 @@ def share_out(budget: float, weights: list[float], capacities: list[float]) -> l
     open_ = [i for i, w in enumerate(weights) if w > 0 and capacities[i] > 0]
     while open_ and budget > 1e-9:
         total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if given[i] + budget * weights[i] / total >= capacities[i]]
+        full = [i for i in open_ if given[i] + budget * (weights[i] / total) >= capacities[i]]
         if not full:
             for i in open_:
-                given[i] += budget * weights[i] / total
+                given[i] += budget * (weights[i] / total)
             return given
         for i in full:
             budget -= capacities[i] - given[i]
