@@ -25,7 +25,7 @@ from netweave.session import shuffle_width
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)"
 _DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)"
 EMAIL = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9._+%\-]*[A-Za-z0-9])?{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}}", re.I)
-PHONE = re.compile(r"(?:\+\s?)?(?:\(\d{1,5}\)|\d)(?:[  ./‐-―\-]{0,2}(?:\(\d{1,5}\)|\d))*")
+PHONE = re.compile(r"(?:\+\s?)?(?:\(\d{1,5}\)|\d)(?:[  ./‐-―\-]?(?:\(\d{1,5}\)|\d))*")
 IDENTITY = re.compile(r"(?<![A-Za-z])(?:(?!ID|NO|NR)[A-Z]{1,2}[ \-]?)?\d(?:[ .\-]?\d)*(?:[ .\-]?[A-Z](?![A-Za-z]))?")
 TITLE = re.compile(r"(?:(?:Mr|Ms|Mrs|Mme|Mlle|Dr|Dra|Prof|Sr|Sra|Srta|St)\b\.?|(?:M|D)\.(?=\s+[^\W\d_]+[ .,]+[^\W\d_])(?!\s+[^\W\d_]+\s*$)|Herrn?\b|Frau\b|don\b|doña\b|Dña\.|г-н\b|г-жа\b|д-р\b)\s*", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’‐‑][^\W\d_]+)*\.?")
@@ -68,7 +68,10 @@ def _name(text: str, start: int, end: int) -> tuple[int, int] | None:
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The exact item of a span the tagger found, or None if it can't be one."""
     if kind == "email":
-        return _meets(EMAIL, text, start, end, 80)
+        span = _meets(EMAIL, text, start, end, 80)
+        # a name may follow without a space: the last label ends where its case rises
+        glued = span and re.search(r"(?<=[a-z])(?=[A-Z][a-z]*$)", text[slice(*span)])
+        return (span[0], span[0] + glued.start()) if glued else span
     if kind == "phone":
         span = _meets(PHONE, text, start, end, 24)
         return span if span and 7 <= _digits(text[slice(*span)]) <= 16 else None

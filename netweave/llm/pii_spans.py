@@ -18,6 +18,7 @@ FAMILY = (
 ).split()
 GIVEN_RU = "Брам Сельма Карстен Одрик Ливия Тобин Марали Петра Ансельм Ноэми Дория Йорун Хакон Фенно Илка Изольда Анна Павел Мария Игорь".split()
 FAMILY_RU = "Тарвино Фельдшпан Брандлоу Вессерман Остерхельм Монтебрун Кестерван Квиллхарт Арросаль Зандрук Дольчериве Норргейт Ельмвик Листранд Пемберлоу Кастрело Петров Соколова Лебедев Волкова".split()
+INITIALS = "ABCDEFGHIJKLMNOPRSTUVWXYZ"
 PARTICLES = ["von", "van", "de la", "del", "de"]
 TITLES = {"en": ["Mr", "Ms", "Mrs", "Dr.", "Mr.", "Prof."], "de": ["Herr", "Frau", "Dr.", "Herrn"], "fr": ["M.", "Mme", "Dr"], "es": ["Sr.", "Sra.", "don", "doña", "Dra.", "Dña.", "D."], "ru": ["г-н", "г-жа", "д-р"], "zh": []}
 DOMAINS = ["example.org", "example.com", "mail.example.net", "roads.example", "city-roads.example", "depot.invalid", "traffic.test", "post.example", "harbour.test"]
@@ -28,10 +29,10 @@ WEEKDAYS = {
     "es": ["el lunes", "el martes", "el jueves", "el viernes", "el domingo"], "ru": "понедельник вторник четверг пятница воскресенье".split(), "zh": "星期一 星期二 星期四 星期五 星期日".split(),
 }
 STREETS = {
-    "en": ["Larkspur Lane", "Blue Heron Road", "Saltmarsh Close", "Hollin Street", "Old Tannery Row", "Mill Bridge Avenue", "Cooper Street", "Harbour Way", "Elm Court", "North Terrace"],
-    "de": ["Am Mühlgraben", "Hafenplatz", "Lindenbogen", "Reiherweg", "Gerberstraße", "Alte Gasse", "Brückenallee", "Kirchstr.", "An der Weide"],
-    "fr": ["avenue du Moulin", "impasse de la Tannerie", "boulevard du Marais", "quai des Hérons", "rue des Tilleuls-Gris", "place du Port", "chemin des Saules", "allée des Ormes"],
-    "es": ["Calle del Olmo Viejo", "C/ Curtidores", "Paseo de las Garzas", "Plaza del Molino", "Avenida de la Noria", "Av. del Puerto", "Calle Mayor", "Ronda del Río"],
+    "en": ["Larkspur Lane", "Blue Heron Road", "Saltmarsh Close", "Hollin Street", "Old Tannery Row", "Mill Bridge Avenue", "Cooper Street", "Harbour Way", "Elm Court", "North Terrace", "Fennick Avenue", "Quay St.", "Weir Rd"],
+    "de": ["Am Mühlgraben", "Hafenplatz", "Lindenbogen", "Reiherweg", "Gerberstraße", "Alte Gasse", "Brückenallee", "Kirchstr.", "An der Weide", "Kranichstraße", "Alte Gerbergasse", "Zum Speicher"],
+    "fr": ["avenue du Moulin", "impasse de la Tannerie", "boulevard du Marais", "quai des Hérons", "rue des Tilleuls-Gris", "place du Port", "chemin des Saules", "allée des Ormes", "av. du Port", "bd. de la Gare"],
+    "es": ["Calle del Olmo Viejo", "C/ Curtidores", "Paseo de las Garzas", "Plaza del Molino", "Avenida de la Noria", "Av. del Puerto", "Calle Mayor", "Ronda del Río", "Avda. de la Noria", "Avda. Mayor", "Pza. del Puerto", "Pº de las Garzas"],
     "ru": ["пр. Цапель", "ул. Липовая Заводь", "наб. Старой Мельницы", "пер. Кожевников", "ул. Мостовая", "бул. Озёрный", "улица Садовая", "ул. Солёные Луга", "Мельничный пер.", "Кожевенный пер.", "Липовая ул.", "Северный пр."],
     "zh": ["白鹭大道", "望桥街", "旧皮坊巷", "柳溪路", "水车路", "河滨大街", "北门巷", "新港路"],
 }
@@ -67,7 +68,7 @@ CARRIERS = {
     "ru": [
         "Ответ: {E} или {P}, спасибо.", "Полную таблицу можно запросить по адресу {E}.", "Переслано от {E}: полосу просим не закрывать.", "Старый номер {P}, новый {P}.", "Звоните {P}, если шлагбаум не открывается.",
         "Ключи тут: {A}; сначала звоните {P}.", "Пропуск оформлен на личный номер {I}.", "Водитель смены: {N}, номер {I}.", "{N} – {P} – {E}", "Жалоба поступила: {A}, второй звонок.",
-        "Фургон с весны стоит тут: {A}; владелец – {N}.", "{N} ({E}) – подпись на листе учёта.", "{N}: опрос надо повторить.", "По словам очевидца ({N}), петлю у причала перерезали нарочно.",
+        "Фургон с весны стоит тут: {A}; владелец – {N}.", "{N} ({E}) – подпись на листе учёта.", "{N} предлагает повторить опрос.", "{N}: опрос надо повторить.", "По словам очевидца ({N}), петлю у причала перерезали нарочно.",
         "На весовой были {N} и позже {N}.", "Возврат: {N}, родился за границей, {I}, до конца месяца.", "Кабель доставить: {N}, {A}.", "Ночной пост ({P}), сообщение принято: {N}.",
     ],
     "zh": [
@@ -139,7 +140,7 @@ ORDINARY = {
         "如果天气允许，新的统计定于{d}进行。", "如果卡车在{d}之前离开{t}，两条车道就够了。", "{t}的居民要求限速{n}公里。", "{t}的{n}号站台已关闭。",
     ],
 }
-NOISE = ["", "", "", "", "👩🏽‍🔧 ok", "<|endoftext|>", "<s></s>[PAD]", "3.14159265358979", "한국어 길", "...!!??", "\t", "�", "𝔘𝔫𝔦", "EOF", "#", "don't we'll I'VE", "\u202egnirts\u202c", "  \xa0 ", "LaLaLaLa", "\n\nOnOnOnOn", "http://roads.example/a?b=12345678"]
+NOISE = ["", "", "", "", "👩🏽‍🔧 ok", "<|endoftext|>", "<s></s>[PAD]", "3.14159265358979", "한국어 길", "...!!??", "\t", "�", "𝔘𝔫𝔦", "EOF", "#", "don't we'll I'VE", "\u202egnirts\u202c", "  \xa0 ", "LaLaLaLa", "\n\nOnOnOnOn", "http://roads.example/a?b=12345678", "https://maps.depot.invalid/a?b=1&c=%20"]
 
 
 class Spans:
@@ -164,10 +165,10 @@ class Spans:
         family = self._made(ru) if r.random() < 0.3 else r.choice(FAMILY_RU if ru else FAMILY)
         if r.random() < 0.12:
             family += "-" + r.choice(FAMILY_RU if ru else FAMILY)
-        if r.random() < 0.08:
+        if r.random() < 0.12:
             family = r.choice(PARTICLES) + " " + family
         form = r.random()
-        name = f"{given} {family}" if form < 0.62 else f"{family}, {given}" if form < 0.74 else f"{given[0]}. {family}" if form < 0.88 else f"{given} {r.choice(GIVEN)[0]}. {family}"
+        name = f"{given} {family}" if form < 0.62 else f"{family}, {given}" if form < 0.74 else f"{given[0] if r.random() < 0.7 else r.choice(INITIALS)}. {family}" if form < 0.86 else f"{given} {r.choice(INITIALS)}. {family}"
         if r.random() < 0.1:
             name = name.upper()
         title = r.choice(TITLES[lang]) + " " if TITLES[lang] and r.random() < 0.15 else ""
@@ -267,7 +268,7 @@ class Spans:
         for _ in range(r.choice([1, 1, 2, 2, 3, 4])):
             tongue = lang if r.random() < 0.92 else r.choice(list(CARRIERS))
             part, found = self.sentence(tongue, r.random() < 0.55)
-            if out and not (lang == "zh" and r.random() < 0.8):
+            if out and not (lang == "zh" and r.random() < 0.8) and r.random() > 0.03:
                 out += r.choice([" ", " ", " ", " ", "\n"])
             spans += [(s + len(out), e + len(out), k) for s, e, k in found]
             out += part
