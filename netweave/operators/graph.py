@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions.costs import NUDGE, bpr_cost, exact_sum
 from netweave.operators.kernels import Graph
-from netweave.session import cut
+from netweave.session import cut, spread
 
 #: Gaps within this are ties, and a link lies on a least path within that of zero slack.
 TIE, COST_MINIMAL = 1e-10, 1e-6
@@ -104,7 +104,7 @@ def potentials(links: DataFrame, networks: DataFrame) -> DataFrame:
         return out[out["pi"] < float("inf")]
 
     rows = flagged(links, networks).select("network", "link_id", "tail", "head", "cost", "n_nodes", "n_zones", "no_thru", "zero_connectors")
-    return rows.groupBy("network").applyInPandas(run, "network string, dest int, node int, pi double")
+    return spread(rows, "network").groupBy("network").applyInPandas(run, "network string, dest int, node int, pi double")
 
 
 def gaps(links: DataFrame, networks: DataFrame, pi: DataFrame | None = None) -> DataFrame:

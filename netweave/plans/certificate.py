@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.operators.graph import flagged
-from netweave.operators.kernels import Graph, bpr, zone_demand
+from netweave.operators.kernels import Graph, Support, bpr, zone_demand
+from netweave.session import spread
 
 _NEEDED = ["network", "link_id", "tail", "head", "capacity", "fft", "b", "power", "n_nodes", "n_zones", "no_thru", "zero_connectors"]
 TIE, CONSERVATION = 1e-9, 1e-6
@@ -25,7 +26,8 @@ def graph_of(rows: pd.DataFrame) -> Graph:
 
 def certificate_of(g: Graph, x: np.ndarray, cost: np.ndarray, mu: float, demand: np.ndarray) -> dict:
     """The clauses of one flow: its reload on its own support, conservation, margins and use of inefficient links."""
-    y, pi, mask, _ = g.load(cost, demand, mu)
+    y, pi, support = g.load(cost, demand, mu)
+    mask = support.mask
     t, h = pi[g.tail], pi[g.head]
     with np.errstate(invalid="ignore"):
         gap = np.where(np.isfinite(t) & np.isfinite(h), t - h, 0.0)
@@ -36,7 +38,7 @@ def certificate_of(g: Graph, x: np.ndarray, cost: np.ndarray, mu: float, demand:
     least = lambda m: float(np.abs(gap[m]).min()) if m.any() else float("nan")
     unused = ~mask.any(1) & (x > 1e-6)
     return {
-        "reload_defect": float(np.abs(x - y).max() / max(np.abs(x).max(initial=0.0), 1e-30)), "worst_imbalance": float(np.abs(net).max()), "n_support": int(mask.sum()),
+        "reload_defect": float(np.abs(x - y).max() / max(np.abs(x).max(initial=0.0), 1e-30)), "worst_imbalance": float(np.abs(net).max()), "n_support": int(mask.sum()), "n_cyclic": int(support.cyclic.sum()),
         "isolation": least(free), "exclusion": least(free & (gap < -TIE)), "n_ties": int((free & (np.abs(gap) <= TIE)).sum()), "n_violations": int(unused.sum()),
         "conserves": bool(np.abs(net).max() <= CONSERVATION * max(demand.sum(), 1.0)),
     }
@@ -45,7 +47,7 @@ def certificate_of(g: Graph, x: np.ndarray, cost: np.ndarray, mu: float, demand:
 def certify(flows: DataFrame, links: DataFrame, networks: DataFrame) -> DataFrame:
     """One row per deposit: the clauses and the verdict (strict, not conserved, inadmissible or not reproduced)."""
     schema = (
-        "deposit_id long, network string, mu double, n_links long, reload_defect double, worst_imbalance double, n_support long, isolation double, exclusion double, n_ties long, n_violations long, conserves boolean, verdict string"
+        "deposit_id long, network string, mu double, n_links long, reload_defect double, worst_imbalance double, n_support long, n_cyclic long, isolation double, exclusion double, n_ties long, n_violations long, conserves boolean, verdict string"
     )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +61,7 @@ def certify(flows: DataFrame, links: DataFrame, networks: DataFrame) -> DataFram
         return pd.DataFrame([{"deposit_id": first["deposit_id"], "network": first["network"], "mu": first["mu"], "n_links": len(rows), **out, "verdict": verdict}])
 
     rows = flows.join(flagged(links, networks).select(*_NEEDED), ["network", "link_id"]).select("deposit_id", "mu", "x", *_NEEDED)
-    return rows.groupBy("deposit_id").applyInPandas(run, schema)
+    return spread(rows, "deposit_id").groupBy("deposit_id").applyInPandas(run, schema)
 
 
 def loads(links: DataFrame, networks: DataFrame, mus: tuple[float, ...]) -> DataFrame:
@@ -72,7 +74,7 @@ def loads(links: DataFrame, networks: DataFrame, mus: tuple[float, ...]) -> Data
         return pd.DataFrame({"network": rows["network"], "mu": mu, "link_id": rows["link_id"], "y": y})
 
     cells = flagged(links, networks).withColumn("mu", F.explode(F.array(*map(F.lit, mus))))
-    return cells.select(*_NEEDED, "cost", "mu").groupBy("network", "mu").applyInPandas(run, "network string, mu double, link_id int, y double")
+    return spread(cells.select(*_NEEDED, "cost", "mu"), "network", "mu").groupBy("network", "mu").applyInPandas(run, "network string, mu double, link_id int, y double")
 
 
 def values(links: DataFrame, networks: DataFrame, mu: float) -> DataFrame:
@@ -83,9 +85,9 @@ def values(links: DataFrame, networks: DataFrame, mu: float) -> DataFrame:
         g = graph_of(rows)
         cost = rows["cost"].to_numpy()
         pi = g.potentials(cost)
-        v = g.chances(cost, pi, g.support(pi), mu)[1]
+        v = Support(g, g.support(pi), pi).chances(cost, pi, mu)[1]
         node, dest = np.nonzero(np.isfinite(v))
         return pd.DataFrame({"network": rows["network"].iloc[0], "dest": dest, "node": node, "value": v[node, dest]})
 
     rows = flagged(links, networks).select(*_NEEDED, "cost")
-    return rows.groupBy("network").applyInPandas(run, "network string, dest int, node int, value double")
+    return spread(rows, "network").groupBy("network").applyInPandas(run, "network string, dest int, node int, value double")

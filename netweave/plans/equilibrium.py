@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.operators.graph import flagged
-from netweave.operators.kernels import Graph, bpr, zone_demand
+from netweave.operators.kernels import Graph, Support, bpr, zone_demand
 from netweave.plans.certificate import _NEEDED, graph_of
+from netweave.session import spread
 
 SOLVED_BELOW = 1e-8
 
@@ -21,15 +22,14 @@ SOLVED_BELOW = 1e-8
 def _cells(flows: DataFrame, congested: DataFrame, networks: DataFrame) -> DataFrame:
     """All links of each cell that has a deposit, with the mean flow."""
     cells = flows.select("network", F.round("mu", 6).alias("mu")).distinct()
-    return flagged(congested, networks).select(*_NEEDED, "x", "cost").join(cells, "network")
+    return spread(flagged(congested, networks).select(*_NEEDED, "x", "cost").join(cells, "network"), "network", "mu")
 
 
-def fixed_support(g: Graph, x: np.ndarray, cost_of, demand: np.ndarray, mu: float, pi: np.ndarray, mask: np.ndarray, rounds: int) -> tuple[np.ndarray, float, int]:
+def fixed_support(x: np.ndarray, cost_of, demand: np.ndarray, mu: float, pi: np.ndarray, support: Support, rounds: int) -> tuple[np.ndarray, float, int]:
     """Polish on a frozen support: Anderson-accelerated reloading, keeping the best iterate."""
     kept_x, kept_r, best = [], [], (np.inf, x)
     for k in range(rounds):
-        p, _ = g.chances(cost_of(x), np.where(np.isfinite(pi), pi, np.inf), mask, mu)
-        r = g.push(p, demand) - x
+        r = support.push(support.chances(cost_of(x), pi, mu)[0], demand) - x
         size = float(np.linalg.norm(r) / max(np.linalg.norm(x), 1e-30))
         if size < best[0]:
             best = (size, x)
@@ -54,26 +54,26 @@ def solve_cell(g: Graph, x: np.ndarray, cost_of, mu: float, averaging: int, poli
     mean, changes, stable = cost_of(x), 0, 0
     pi = g.potentials(mean)
     demand = np.where(np.isfinite(pi), demand, 0.0)
-    mask = g.support(pi)
+    support = Support(g, g.support(pi), pi)
     k = 0
     for k in range(1, averaging + 1):
         cost = cost_of(x)
         mean += (cost - mean) / k
         if k % 10 == 0:
             pi = g.potentials(mean)
-            new = g.support(pi)
-            changes = int((new != mask).sum())
-            mask, stable = new, stable + 1 if not changes else 0
+            new = Support(g, g.support(pi), pi)
+            changes = int((new.mask != support.mask).sum())
+            support, stable = new, stable + 1 if not changes else 0
             if stable >= 3:
                 break
-        y = g.push(g.chances(cost, pi, mask, mu)[0], demand)
+        y = support.push(support.chances(cost, pi, mu)[0], demand)
         x = x + (y - x) / k
-    x, residual, rounds = fixed_support(g, x, cost_of, demand, mu, pi, mask, polishing)
+    x, residual, rounds = fixed_support(x, cost_of, demand, mu, pi, support, polishing)
     own = g.potentials(cost_of(x))
-    return {"iterations": k, "support_changes": changes, "residual": residual, "polish_rounds": rounds, "n_support": int(mask.sum()), "support_holds": bool((g.support(own) == mask).all())}
+    return {"iterations": k, "support_changes": changes, "residual": residual, "polish_rounds": rounds, "n_support": int(support.mask.sum()), "support_holds": bool((Support(g, g.support(own), own).mask == support.mask).all())}
 
 
-def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging: int = 30, polishing: int = 15) -> DataFrame:
+def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging: int = 200, polishing: int = 40) -> DataFrame:
     """One row per cell: how far the two phases came, and whether the frozen support is that of the final cost."""
     schema = "network string, mu double, iterations long, support_changes long, residual double, polish_rounds long, n_support long, support_holds boolean, solved boolean"
 
@@ -87,7 +87,7 @@ def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging
     return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
 
 
-def inclusion(flows: DataFrame, congested: DataFrame, networks: DataFrame, rounds: int = 20, window: int = 10) -> DataFrame:
+def inclusion(flows: DataFrame, congested: DataFrame, networks: DataFrame, rounds: int = 25, window: int = 10) -> DataFrame:
     """The scheme with the support of the current cost: distinct supports in the last window, contested pairs, flow change."""
     schema = "network string, mu double, n_supports long, n_contested long, n_base long, last_move double, settled boolean"
 
@@ -97,10 +97,10 @@ def inclusion(flows: DataFrame, congested: DataFrame, networks: DataFrame, round
         parts = [rows[c].to_numpy() for c in ("fft", "capacity", "b", "power")]
         x, demand, seen, move = rows["x"].to_numpy(), zone_demand(g.n, g.z), [], 0.0
         for k in range(1, rounds + 1):
-            y, _, mask, _ = g.load(bpr(x, *parts), demand, mu)
+            y, _, support = g.load(bpr(x, *parts), demand, mu)
             move = float(np.linalg.norm(y - x) / k / max(np.linalg.norm(x), 1e-30))
             x = x + (y - x) / k
-            seen = [*seen, mask][-window:]
+            seen = [*seen, support.mask][-window:]
         inner, union = np.logical_and.reduce(seen), np.logical_or.reduce(seen)
         return pd.DataFrame([{
             "network": rows["network"].iloc[0], "mu": mu, "n_supports": len({m.tobytes() for m in seen}), "n_contested": int((union & ~inner).sum()), "n_base": int(inner.sum()),

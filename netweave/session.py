@@ -34,3 +34,11 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys into enough tasks for work that is heavy per row.
+
+    Small in bytes, such rows would otherwise be coalesced into few tasks; a grouping by the same keys needs no other shuffle.
+    """
+    return df.repartition(4 * shuffle_width(df.sparkSession), *keys)

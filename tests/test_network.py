@@ -10,7 +10,7 @@ from netweave.functions import costs
 from netweave.operators import flows as fl
 from netweave.operators import graph as gr
 from netweave.operators import records as rc
-from netweave.operators.kernels import Graph, bpr, zone_demand
+from netweave.operators.kernels import Graph, Support, bpr, zone_demand
 from netweave.plans import certificate, tied
 from netweave.sources import sinks, tntp
 
@@ -57,7 +57,9 @@ def test_kernels_keep_the_invariants(case):
                 want = False
             assert mask[e, d] == want
     demand = np.where(np.isfinite(pi), zone_demand(g.n, g.z), 0.0)
-    p, value = g.chances(cost, pi, mask, 1.0)
+    support = Support(g, mask, pi)
+    assert not support.cyclic.any() and np.array_equal(support.mask, mask)
+    p, value = support.chances(cost, pi, 1.0)
     # values by a dense solve, an independent way
     for d in range(g.z):
         a = np.zeros((g.n, g.n))
@@ -65,12 +67,24 @@ def test_kernels_keep_the_invariants(case):
         w = np.linalg.solve(np.eye(g.n) - a, np.eye(g.n)[d])
         seen = np.isfinite(value[:, d])
         assert np.allclose(np.log(w[seen]), value[seen, d], atol=1e-8)
-    y = g.push(p, demand)
+    y = support.push(p, demand)
     net = np.bincount(g.tail, y, g.n) - np.bincount(g.head, y, g.n) - demand.sum(1)
     net[: g.z] += demand.sum(0)
     assert np.abs(net).max() < 1e-8
 
 
+def test_a_cycle_of_connectors_is_reported_and_cut():
+    # zones 0 and 1 lead to each other by free connectors, and zones are a way through
+    g = Graph(3, 2, np.array([0, 1, 0, 2, 1]), np.array([2, 2, 1, 1, 0]), False, True)
+    cost = np.array([0.0, 0.0, 5.0, 1.0, 5.0])
+    g2 = Graph(4, 1, np.array([1, 2, 2, 3]), np.array([2, 1, 3, 0]), False, False)
+    pi = g2.potentials(np.array([1.0, 1.0, 1.0, 1.0]))
+    s = Support(g2, np.ones((4, 1), bool), pi)
+    assert s.cyclic.all() and s.mask[:, 0].tolist() == [True, False, True, True]
+    y, pi, support = g.load(cost, zone_demand(3, 2), 1.0)
+    assert np.isfinite(y).all() and support.cyclic[0]
+
+
 def test_cost_columns(spark):
     rows = [(x, 2.0, 10.0, 0.15, 4.0) for x in (None, float("nan"), -3.0, 0.0, 5.0, 10.0, 1e300)] + [(1.0, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "x double, fft double, capacity double, b double, power double")
