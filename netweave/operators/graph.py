@@ -202,3 +202,31 @@ def tight_hops(g: DataFrame, networks: DataFrame, tolerance: float = COST_MINIMA
         reach = reach.unionByName(front.select("network", "dest", F.col("head").alias("node"), F.lit(hop).alias("hops")))
     zones = reach.join(networks.select("network", "n_zones"), "network").where(F.col("node") < F.col("n_zones"))
     return zones.groupBy("network").agg(F.max("hops").alias("most_hops"))
+
+
+def claimed(g: DataFrame, used: DataFrame, tolerance: float = TIE) -> DataFrame:
+    """Links x destinations x cells where the links that a cell uses (network, mu, link_id, x) aren't an admissible support.
+
+    Strictly efficient and forced links must be in it; a link in it must not be strictly inefficient.
+    """
+    cells = used.select("network", "mu").distinct()
+    all_ = g.drop("x").join(cells, "network").join(used.select("network", "mu", "link_id", "x"), ["network", "mu", "link_id"], "left")
+    zone = lambda c: F.col(c) < F.col("n_zones")
+    open_ = ~(F.col("no_thru") & zone("head") & (F.col("head") != F.col("dest")))
+    away = F.col("tail") != F.col("dest")
+    forced = away & ((F.col("head") == F.col("dest")) | (F.col("zero_connectors") & zone("tail") & open_))
+    strict = ((F.col("gap") > tolerance) & away & open_) | forced
+    closed = ((F.col("gap") >= -tolerance) & away & open_) | forced
+    inside = F.col("x").isNotNull()
+    return all_.where((strict & ~inside) | (inside & ~closed)).select("network", "mu", "dest", "link_id", "gap", F.coalesce("x", F.lit(0.0)).alias("x"))
+
+
+def admissibility(bad: DataFrame) -> DataFrame:
+    """Per cell: violations, the worst gap and the largest flow among them."""
+    return bad.groupBy("network", "mu").agg(F.count("*").alias("n_violations"), F.round(F.max(F.abs("gap")), 6).alias("worst_gap"), F.round(F.max("x"), 6).alias("worst_flow"))
+
+
+def violating_pairs(bad: DataFrame) -> DataFrame:
+    """Per cell and link: how many destinations it violates, and the destination with the widest gap."""
+    worst = F.max(F.struct(F.round(F.abs("gap"), 6).alias("gap"), (-F.col("dest")).alias("dest")))
+    return bad.groupBy("network", "mu", "link_id").agg(F.count("*").alias("n_destinations"), worst.alias("w")).select("network", "mu", "link_id", "n_destinations", F.col("w.gap").alias("worst_gap"), (-F.col("w.dest")).alias("worst_dest"))

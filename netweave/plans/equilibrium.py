@@ -48,11 +48,14 @@ def fixed_support(x: np.ndarray, cost_of, demand: np.ndarray, mu: float, pi: np.
     return best[1], best[0], k + 1
 
 
-def solve_cell(g: Graph, x: np.ndarray, cost_of, mu: float, averaging: int, polishing: int) -> dict:
-    """Averaging with the support of the averaged cost, rebuilt every tenth step; then the polish on the last support."""
+def solve_cell(g: Graph, x: np.ndarray, cost_of, mu: float, averaging: int, polishing: int, tilt: np.ndarray | float = 0.0) -> tuple[np.ndarray, dict]:
+    """Averaging with the support of the averaged cost, rebuilt every tenth step; then the polish on the last support.
+
+    tilt is added to the cost that defines the support, to tell solutions apart that a tie allows.
+    """
     demand = zone_demand(g.n, g.z)
     mean, changes, stable = cost_of(x), 0, 0
-    pi = g.potentials(mean)
+    pi = g.potentials(mean + tilt)
     demand = np.where(np.isfinite(pi), demand, 0.0)
     support = Support(g, g.support(pi), pi)
     k = 0
@@ -60,7 +63,7 @@ def solve_cell(g: Graph, x: np.ndarray, cost_of, mu: float, averaging: int, poli
         cost = cost_of(x)
         mean += (cost - mean) / k
         if k % 10 == 0:
-            pi = g.potentials(mean)
+            pi = g.potentials(mean + tilt)
             new = Support(g, g.support(pi), pi)
             changes = int((new.mask != support.mask).sum())
             support, stable = new, stable + 1 if not changes else 0
@@ -70,7 +73,7 @@ def solve_cell(g: Graph, x: np.ndarray, cost_of, mu: float, averaging: int, poli
         x = x + (y - x) / k
     x, residual, rounds = fixed_support(x, cost_of, demand, mu, pi, support, polishing)
     own = g.potentials(cost_of(x))
-    return {"iterations": k, "support_changes": changes, "residual": residual, "polish_rounds": rounds, "n_support": int(support.mask.sum()), "support_holds": bool((Support(g, g.support(own), own).mask == support.mask).all())}
+    return x, {"iterations": k, "support_changes": changes, "residual": residual, "polish_rounds": rounds, "n_support": int(support.mask.sum()), "support_holds": bool((Support(g, g.support(own), own).mask == support.mask).all())}
 
 
 def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging: int = 200, polishing: int = 40) -> DataFrame:
@@ -81,7 +84,7 @@ def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging
         rows = rows.sort_values("link_id")
         g = graph_of(rows)
         parts = [rows[c].to_numpy() for c in ("fft", "capacity", "b", "power")]
-        out = solve_cell(g, rows["x"].to_numpy(), lambda x: bpr(x, *parts), float(rows["mu"].iloc[0]), averaging, polishing)
+        _, out = solve_cell(g, rows["x"].to_numpy(), lambda x: bpr(x, *parts), float(rows["mu"].iloc[0]), averaging, polishing)
         return pd.DataFrame([{"network": rows["network"].iloc[0], "mu": rows["mu"].iloc[0], **out, "solved": out["residual"] < SOLVED_BELOW}])
 
     return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
@@ -133,3 +136,76 @@ def full_graph(flows: DataFrame, congested: DataFrame, networks: DataFrame, roun
         return pd.DataFrame([{"network": rows["network"].iloc[0], "mu": mu, "radius": radius - 1.0, "ill_posed": radius - 1.0 >= 1.0, "value_defect": defect}])
 
     return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
+
+
+def solution_set(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging: int = 100, polishing: int = 30) -> DataFrame:
+    """Two solutions per cell, with the support's cost tilted up and down: diameters, isolation radius, and whether it is unique."""
+    schema = "network string, mu double, flow_diameter double, cost_diameter double, isolation_radius double, unique_flow boolean"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("link_id")
+        g, mu = graph_of(rows), float(rows["mu"].iloc[0])
+        parts = [rows[c].to_numpy() for c in ("fft", "capacity", "b", "power")]
+        up, down = (solve_cell(g, rows["x"].to_numpy(), lambda x: bpr(x, *parts), mu, averaging, polishing, sign * 0.05 * parts[0])[0] for sign in (1, -1))
+        cost = bpr(up, *parts)
+        pi = g.potentials(cost)
+        t, h = pi[g.tail], pi[g.head]
+        zone_t, zone_h = (g.tail < g.z)[:, None], (g.head < g.z)[:, None]
+        free = np.isfinite(t) & np.isfinite(h) & ~(g.no_thru & zone_h) & ~(g.zdc & zone_t) & ~g.from_dest & ~g.to_dest
+        margin = float(np.abs(t[free] - h[free]).min()) if free.any() else float("nan")
+        spread_ = float(np.abs(cost - bpr(down, *parts)).max())
+        radius = margin / (2 * max(g.n - 1, 1))  # NaN: no link's membership is open
+        return pd.DataFrame([{
+            "network": rows["network"].iloc[0], "mu": mu, "flow_diameter": float(np.linalg.norm(up - down) / max(np.linalg.norm(up), 1e-30)), "cost_diameter": spread_,
+            "isolation_radius": radius, "unique_flow": bool(np.isnan(radius) or radius > spread_)}])
+
+    return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
+
+
+def unrestricted_load(g: Graph, cost: np.ndarray, demand: np.ndarray, mu: float, rounds: int = 120) -> np.ndarray:
+    """Link flows of the model without supports: values and flows on the whole graph by repeated sweeps."""
+    pi = g.potentials(cost)
+    t, h = pi[g.tail], pi[g.head]
+    with np.errstate(invalid="ignore"):
+        share = np.where(np.isfinite(t) & np.isfinite(h) & ~g.from_dest, np.exp(np.clip(-mu * (cost[:, None] + h - t), -700, 50)), 0.0)
+    own = np.zeros((g.n, g.z))
+    own[np.arange(g.z), np.arange(g.z)] = 1.0
+    w = own
+    for _ in range(rounds):
+        # beyond all bounds where the model is ill-posed
+        w = np.minimum(own + g.out_reduce(np.add, share * w[g.head], 0.0), 1e200)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.where(w[g.tail] > 0, share * w[g.head], 0.0)
+    total = g.out_reduce(np.add, p, 0.0)
+    p = np.where(total[g.tail] > 0, p / np.maximum(total[g.tail], 1e-300), 0.0)
+    z = moved = np.where(np.isfinite(pi), demand, 0.0)
+    flow = np.zeros(len(cost))
+    by_head = np.argsort(g.head, kind="stable")
+    heads, at = np.unique(g.head[by_head], return_index=True)
+    for _ in range(rounds):
+        step = p * moved[g.tail]
+        flow += step.sum(1)
+        moved = np.zeros_like(z)
+        moved[heads] = np.add.reduceat(step[by_head], at, axis=0)
+        if moved.sum() <= 1e-10:
+            break
+    return flow
+
+
+def recovered_dispersion(congested: DataFrame, networks: DataFrame, loads: DataFrame, grid: tuple[float, ...] = (0.5, 0.63, 0.79, 1.0, 1.26, 1.59, 2.0)) -> DataFrame:
+    """The dispersion at which the unrestricted model comes closest to a load (network, mu, link_id, y), of a grid around mu.
+
+    Every candidate is a row of its own, so that Spark spreads them; the best is an aggregation.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("link_id")
+        g, y = graph_of(rows), rows["y"].to_numpy()
+        x = unrestricted_load(g, rows["cost"].to_numpy(), zone_demand(g.n, g.z), float(rows["candidate"].iloc[0]))
+        far = float(np.linalg.norm(x - y) / max(np.linalg.norm(y), 1e-30))
+        return pd.DataFrame([{"network": rows["network"].iloc[0], "mu": rows["mu"].iloc[0], "candidate": rows["candidate"].iloc[0], "distance": far}])
+
+    rows = flagged(congested, networks).select(*_NEEDED, "cost").join(loads, ["network", "link_id"])
+    rows = rows.withColumn("candidate", F.explode(F.transform(F.array(*map(F.lit, grid)), lambda f: F.round(f * F.col("mu"), 6))))
+    tried = spread(rows, "network", "mu", "candidate").groupBy("network", "mu", "candidate").applyInPandas(run, "network string, mu double, candidate double, distance double")
+    return tried.groupBy("network", "mu").agg(F.min_by("candidate", F.struct("distance", "candidate")).alias("recovered"), F.min("distance").alias("distance"))

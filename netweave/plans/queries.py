@@ -195,6 +195,22 @@ _query(
 l as (select od.* from od left join pi p on p.network = od.network and p.node = od.o and p.dest = od.d where p.pi is null)
 select n.network, count(l.o) n_pairs, coalesce(sum(round(l.demand, 6)::decimal(28,6)), 0)::double lost from networks n left join l using (network) group by 1""",
 )(lambda t: gr.unreachable(t.networks, gr.potentials(t.congested, t.networks)))
+_USED = f"{_STEPS}, used as (select network, mu, link_id, x from clean where x > 1e-6 and deposit_id in (select arg_max(deposit_id, k) from steps group by network, mu))"
+_BAD = f"""{_GAPS}, {_USED}, cells as (select distinct network, mu from used),
+a as (select g.*, c.mu, u.x as ux, not (no_thru and head < n_zones and head <> dest) op, tail <> dest aw from g join cells c using (network) left join used u on u.network = g.network and u.mu = c.mu and u.link_id = g.link_id),
+f as (select *, aw and (head = dest or (zdc and tail < n_zones and op)) forced from a),
+bad as (select network, mu, dest, link_id, gap, coalesce(ux, 0) x from f where (((gap > 1e-5 and aw and op) or forced) and ux is null) or (ux is not null and not ((gap >= -1e-5 and aw and op) or forced)))"""
+
+
+def _bad(t: Tables) -> DataFrame:
+    used = fl.latest_flows(t.clean, t.flows_manifest).where(F.col("x") > fl.USED)
+    return gr.claimed(t.gaps, used, 1e-5)
+
+
+_query("admissibility", f"{_BAD} select network, mu, count(*) n_violations, round(max(abs(gap)), 6) worst_gap, round(max(x), 6) worst_flow from bad group by all")(lambda t: gr.admissibility(_bad(t)))
+_query("violating_pairs", f"{_BAD} select network, mu, link_id, count(*) n_destinations, max(round(abs(gap), 6)) worst_gap, arg_min(dest, (-round(abs(gap), 6), dest)) worst_dest from bad group by all")(
+    lambda t: gr.violating_pairs(_bad(t))
+)
 _query("cycle_links")(lambda t: gr.cycle_links(t.congested.where("x > 0")))
 _query("longest_tight_path")(lambda t: gr.tight_hops(t.gaps, t.networks, 1e-5))
 _query("value_pass")(lambda t: certificate.values(t.congested, t.networks, 1.0).withColumn("value", F.round("value", 6)))
@@ -216,6 +232,15 @@ def _load_conserves(t: Tables) -> DataFrame:
 _query("certify_deposits")(lambda t: certificate.certify(t.clean, t.links, t.networks))
 _query("equilibrium")(lambda t: equilibrium.solve(t.clean, t.congested, t.networks))
 _query("inclusion")(lambda t: equilibrium.inclusion(t.clean, t.congested, t.networks))
+_query("solution_set")(lambda t: equilibrium.solution_set(t.clean, t.congested, t.networks))
+
+
+@_query("dispersion_recovery")
+def _dispersion_recovery(t: Tables) -> DataFrame:
+    c = t.congested
+    return equilibrium.recovered_dispersion(c, t.networks, cut(certificate.loads(c, t.networks, (1.0, 5.0)), "loads"))
+
+
 _query("full_graph")(lambda t: equilibrium.full_graph(t.clean, t.congested, t.networks))
 
 # ---- result records ------------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from netweave.operators import flows as fl
 from netweave.operators import graph as gr
 from netweave.operators import records as rc
 from netweave.operators.kernels import Graph, Support, bpr, zone_demand
-from netweave.plans import certificate, tied
+from netweave.plans import certificate, equilibrium, tied
 from netweave.sources import sinks, tntp
 
 SF = "/root/testdata/sf0.001"
@@ -140,6 +140,44 @@ def test_strict_certificate_of_its_own_load(spark):
     assert certificate.certify(half, free.select(*base), net).first().verdict == "not conserved"
 
 
+def test_unrestricted_load_against_a_dense_solve():
+    r = np.random.default_rng(2)
+    g = Graph(6, 2, r.integers(0, 6, 14), r.integers(0, 6, 14), False, False)
+    cost, demand = r.uniform(2, 4, 14), zone_demand(6, 2)
+    pi = g.potentials(cost)
+    demand = np.where(np.isfinite(pi), demand, 0.0)
+    want = np.zeros(14)
+    for d in range(2):
+        keep = (g.tail != d) & np.isfinite(pi[g.tail, d]) & np.isfinite(pi[g.head, d])
+        a = np.zeros((6, 6))
+        np.add.at(a, (g.tail[keep], g.head[keep]), np.exp(-cost[keep]))
+        w = np.linalg.solve(np.eye(6) - a, np.eye(6)[d])
+        p = np.where(keep & (w[g.tail] > 0), np.exp(-cost) * w[g.head] / np.where(w[g.tail] > 0, w[g.tail], 1), 0.0)
+        b = np.zeros((6, 6))
+        np.add.at(b, (g.head, g.tail), p)
+        want += p * np.linalg.solve(np.eye(6) - b, demand[:, d])[g.tail]
+    assert np.allclose(equilibrium.unrestricted_load(g, cost, demand, 1.0), want, atol=1e-6)
+
+
+def test_a_cell_is_solved_and_tilts_agree(spark):
+    net, links = transit(spark)
+    flows = spark.createDataFrame([(1, "t", 2.0, i, 1.0) for i in range(5)], "deposit_id long, network string, mu double, link_id int, x double")
+    out = equilibrium.solve(flows, links, net).first()
+    assert out.solved and out.residual < 1e-10 and out.support_holds
+    assert equilibrium.solution_set(flows, links, net).first().flow_diameter < 1e-6
+    y = certificate.loads(links, net, (1.0,))
+    assert equilibrium.recovered_dispersion(links, net, y).count() == 1
+
+
+def test_claimed_support_violations(spark, rows):
+    net, links = transit(spark)
+    g = gr.gaps(links, net)
+    full = links.select("network", F.lit(1.0).alias("mu"), "link_id", "x")
+    bad = gr.claimed(g, full.where("link_id <> 3"))
+    assert (1, 3) in rows(bad, "dest", "link_id")
+    assert gr.admissibility(bad).first().n_violations == bad.count() and gr.violating_pairs(bad).count() >= 1
+
+
 def test_nested_atoms_reproduce_their_weights(spark, rows):
     w = spark.createDataFrame([(1, 0, "tied", 1, 5, 0.75), (1, 0, "tied", 2, 6, 0.25), (1, 0, "base", 1, None, 0.1), (1, 0, "tied", 3, 7, 1.5)], "record_id long, face_pos int, kind string, dest long, link long, weight double")
     assert rows(tied.nested_atoms(w), "n_admitted", "mass") == [(0, 0.25), (1, 0.5), (2, 0.25)]
