@@ -85,11 +85,11 @@ def cells_held(records: DataFrame) -> DataFrame:
 
 def coverage(records: DataFrame, networks: DataFrame) -> DataFrame:
     """Per sweep: cells declared but not held, and held but not declared; declared are all networks times all dispersions."""
-    clean = networks.select(F.lower("network").alias("network"))
-    declared = records.select("sweep_id").distinct().select("sweep_id", F.explode(F.array(*map(F.lit, DISPERSIONS))).alias("mu")).join(clean)
-    held = cells_held(records).withColumn("held", F.lit(True))
-    both = declared.withColumn("declared", F.lit(True)).join(held, ["sweep_id", "network", "mu"], "full_outer")
-    return both.groupBy("sweep_id").agg(F.count_if(F.col("held").isNull()).alias("n_pending"), F.count_if(F.col("declared").isNull()).alias("n_undeclared"), F.count("held").alias("n_held"))
+    clean = networks.select(F.lower("network").alias("network"), F.lit(True).alias("known"))
+    n_declared = clean.count() * len(DISPERSIONS)
+    held = cells_held(records).join(clean, "network", "left")
+    declared = F.col("known").isNotNull() & F.col("mu").isin(*DISPERSIONS)
+    return held.groupBy("sweep_id").agg((F.lit(n_declared) - F.count_if(declared)).alias("n_pending"), F.count_if(~declared).alias("n_undeclared"), F.count("*").alias("n_held"))
 
 
 def pending(records: DataFrame, certificates: DataFrame) -> DataFrame:
