@@ -16,9 +16,13 @@ USED = 1e-6
 
 
 def clean_flows(flows: DataFrame) -> DataFrame:
-    """One row per deposit and link: the last one written; null, NaN and negative flows become 0."""
+    """One row per deposit and link: the last one written (of those, the larger); null, NaN and negative flows become 0.
+
+    Repeated rows are few, so rows go straight to their deposit's partition; whatever is grouped by deposit afterwards
+    needs no other shuffle. A deposit has as many rows as its network has links.
+    """
     last = F.max(F.struct("written_at", F.coalesce(F.nanvl("x", F.lit(None)), F.lit(0.0)).alias("x")))
-    return flows.groupBy("deposit_id", "network", "mu", "link_id").agg(last.alias("w")).select("deposit_id", "network", "mu", "link_id", clipped(F.col("w.x")).alias("x"))
+    return flows.repartition("deposit_id").groupBy("deposit_id", "network", "mu", "link_id").agg(last.alias("w")).select("deposit_id", "network", "mu", "link_id", clipped(F.col("w.x")).alias("x"))
 
 
 def with_links(flows: DataFrame, links: DataFrame) -> DataFrame:
