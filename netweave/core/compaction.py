@@ -22,14 +22,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions.jsontext import record_key
-from netweave.session import shuffle_width, work_dir
+from netweave.session import map_rows, shuffle_width, work_dir
 
 SMALL_BYTES, MAX_SMALL_FILES, TARGET_BYTES = 8 << 20, 8, 128 << 20
 
@@ -93,6 +93,11 @@ def partition_sizes(files: DataFrame, small_bytes: int, keys: list[str]) -> Data
     )
 
 
+def same_place(a: DataFrame, b: DataFrame, columns: list[str]):
+    """Join condition on columns that may be null."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+
+
 @dataclass
 class Compaction:
     root: str
@@ -125,7 +130,7 @@ def compact_parquet(
         names = [part.split("=")[0] for part in next(iter(todo)).split("/")]
         rows = spark.read.option("basePath", data).option("mergeSchema", "false").parquet(*[f"{data}/{p}" for p in todo])
         if keep is not None:
-            rows = rows.join(keep, unique, "left_semi")
+            rows = rows.join(keep, same_place(rows, keep, unique), "left_semi")
         writers = F.create_map(*[x for p, r in todo.items() for x in (F.lit(p), F.lit(max(1, -(-r.n_bytes // target_bytes))))])
         label = F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names])
         spread = F.pmod(F.xxhash64(*[c for c in (unique or rows.columns)]), F.coalesce(writers[label], F.lit(1)))
@@ -148,20 +153,17 @@ _FOLDED = "file_id long, line_no int, sink string, bucket int"
 _LINES = "file_id long, written_at timestamp_ntz, sink string, line_no int, record_key binary, record string"
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for f, t, s, body in zip(batch.file_id, batch.written_at, batch.sink, batch.body):
-            for no, line in enumerate((body or "").split("\n"), 1):
-                text = line.lstrip("﻿").strip(" \t\r")
-                if text:
-                    rows.append((f, t, s, no, record_key(text), text))
-        yield pd.DataFrame(rows, columns=["file_id", "written_at", "sink", "line_no", "record_key", "record"])
+def _lines(ids: list, times: list, sinks: list, bodies: list) -> Iterator[tuple]:
+    for i, t, s, body in zip(ids, times, sinks, bodies):
+        for no, line in enumerate((body or "").split("\n"), 1):
+            text = line.lstrip("\ufeff").strip(" \t\r")
+            if text:
+                yield i, t, s, no, record_key(text), text
 
 
 def record_lines(files: DataFrame) -> DataFrame:
     """One row per line that isn't blank; record_key is null where the line isn't one complete JSON object."""
-    return files.select("file_id", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "sink", "body").mapInPandas(_lines, _LINES)
+    return map_rows(files.select("file_id", F.col("written_at").cast("timestamp_ntz").alias("written_at"), "sink", "body"), _lines, _LINES)
 
 
 def compact_sink_files(
@@ -192,7 +194,8 @@ def compact_sink_files(
     )
     first.write.parquet(f"{root}/first")
     first = spark.read.schema("file_id long, line_no int").parquet(f"{root}/first")
-    folded = staged.select("file_id", "line_no", "sink", "bucket").join(first, ["file_id", "line_no"], "left_anti")
+    lines = staged.select("file_id", "line_no", "sink", "bucket")
+    folded = lines.join(first, same_place(lines, first, ["file_id", "line_no"]), "left_anti")
     folded.write.parquet(f"{root}/folded")
 
     # a source row is one small file: due are the buckets that hold more of them than allowed, and those that

@@ -11,7 +11,7 @@ weight      entries of ``weights`` (destination, link, weight) and ``base_weight
 Edge cases: null, blank, cut-off or non-object texts give no row; an object wrapped as JSON text inside
 a string is unwrapped, likewise ``rounds`` and ``reopened``; a lone object stands for a list of one;
 entries that aren't objects keep their place but give no row; a missing or null phase is ''; other
-fields of the wrong type come out null; an empty table gives empty tables.
+fields of the wrong type come out null; a null record_id shows as "None" in keys; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions.jsontext import parse
-from netweave.session import work_dir
+from netweave.session import map_rows, work_dir
 
 _TAGGED = "record_id long, key string, parent_key string, payload string, tag string"
 SCHEMAS = {
@@ -90,10 +89,9 @@ def visit(record_id: int, text: str | None) -> Iterator[tuple]:
             yield record_id, f"{key}/w{at}", key, json.dumps({"face_pos": pos, "kind": kind, "dest": dest, "link": link, "weight": weight}), "weight"
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [row for i, text in zip(batch.record_id, batch.tied) for row in visit(i, text)]
-        yield pd.DataFrame(rows, columns=["record_id", "key", "parent_key", "payload", "tag"])
+def _emit(ids: list, texts: list) -> Iterator[tuple]:
+    for i, text in zip(ids, texts):
+        yield from visit(i, text)
 
 
 def flatten_tied(records: DataFrame, root: str | None = None) -> dict[str, DataFrame]:
@@ -102,7 +100,7 @@ def flatten_tied(records: DataFrame, root: str | None = None) -> dict[str, DataF
     The records are read and parsed once; no shuffle takes place.
     """
     spark, root = records.sparkSession, root or work_dir(records.sparkSession, "nested")
-    records.select("record_id", "tied").mapInPandas(_emit, _TAGGED).write.partitionBy("tag").parquet(root)
+    map_rows(records.select("record_id", "tied"), _emit, _TAGGED).write.partitionBy("tag").parquet(root)
     return {tag: tagged_table(spark, root, tag) for tag in SCHEMAS}
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +45,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Small in bytes, such rows would otherwise be coalesced into few tasks; a grouping by the same keys needs no other shuffle.
     """
     return df.repartition(4 * shuffle_width(df.sparkSession), *keys)
+
+
+#: Rows that a row function gets at once, so that long texts don't pile up in a task.
+ROWS_AT_ONCE = 500
+
+
+def map_rows(df: DataFrame, f: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """Apply f to blocks of rows: it gets one list per column and gives tuples of the schema.
+
+    Values travel as Arrow, so that nulls stay nulls and long integers stay exact.
+    """
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = list(f(*(c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)))
+                columns = list(zip(*rows)) if rows else [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

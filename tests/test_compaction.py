@@ -17,7 +17,7 @@ def files(spark, *bodies, sink="s", at=None):
 
 def found(spark, df, **k):
     root = cp.compact_sink_files(df, **k)
-    kept = sorted((r.file_id, r.line_no) for r in cp.compacted_records(spark, root).collect())
+    kept = sorted(((r.file_id, r.line_no) for r in cp.compacted_records(spark, root).collect()), key=lambda x: (x[0] or 0, x[1]))
     return sorted((r.file_id, r.line_no) for r in cp.folded_lines(spark, root).collect()), kept, root
 
 
@@ -95,3 +95,9 @@ def test_found_equals_brute_force_on_the_small_tables(spark):
             out += [(f.file_id, no)] if isinstance(v, dict) and k in seen else []
             seen.add(k)
     assert found(spark, df)[0] == sorted(out)
+
+
+def test_null_ids_and_long_ids(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(None, None, "p", None, None, '{"a":1}', None), (big, "s", "q", datetime(2025, 1, 1), 3, '{"a":1}', None)], SCHEMA)
+    assert found(spark, df)[:2] == ([(big, 1)], [(None, 1)])
