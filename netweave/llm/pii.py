@@ -15,12 +15,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm import tagger
-from netweave.session import shuffle_width
+from netweave.session import map_rows, shuffle_width
 
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)"
 _DOT = r"(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)"
@@ -62,7 +61,8 @@ def _name(text: str, start: int, end: int) -> tuple[int, int] | None:
             words = [before[1], *words]
     if m := re.search(r"(?:^|\W)(von|van) $", text[max(0, start - 6) : start]):
         start -= len(m[1]) + 1
-    return (start, end) if len(words) >= 2 and any(len(w.rstrip(".")) > 1 for w in words) else None
+    written = [w for w in words if w[0].isupper()]
+    return (start, end) if len(written) >= 2 and any(len(w.rstrip(".")) > 1 for w in written) else None
 
 
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
@@ -109,21 +109,14 @@ def find(documents: DataFrame, model: tagger.Model | None = None, text: str = "t
     spark = documents.sparkSession
     weights = spark.sparkContext.broadcast((model or fitted()).p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = tagger.Model(weights.value)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                texts = part["text"].tolist()
-                out = [
-                    [{"kind": k, "start_at": s, "end_at": e} for s, e, k in items(t, tagger.read_spans(tags))]
-                    for t, tags in zip(texts, tagger.tag_texts(net, texts))
-                ]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "text": part["text"], "items": out})
+    def run(ids: list, texts: list) -> Iterator[tuple]:
+        tags = tagger.tag_texts(tagger.Model(weights.value), texts)
+        for i, t, g in zip(ids, texts, tags):
+            yield i, t, [{"kind": k, "start_at": s, "end_at": e} for s, e, k in items(t, tagger.read_spans(g))]
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
     schema = "doc_id long, text string, items array<struct<kind: string, start_at: int, end_at: int>>"
-    return rows.repartition(4 * shuffle_width(spark)).mapInPandas(run, schema)
+    return map_rows(rows.repartition(4 * shuffle_width(spark)), run, schema)
 
 
 def found(documents: DataFrame, model: tagger.Model | None = None) -> DataFrame:
@@ -142,9 +135,8 @@ def _masked(text: str, spans: list) -> str:
 def masked(documents: DataFrame, model: tagger.Model | None = None) -> DataFrame:
     """doc_id and text with a typed placeholder for each item; all other characters stay as they were."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [_masked(t, i) for t, i in zip(batch["text"], batch["items"])]})
+    def run(ids: list, texts: list, spans: list) -> Iterator[tuple]:
+        yield from zip(ids, map(_masked, texts, spans))
 
     rest = documents.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0).select("doc_id", "text")
-    return find(documents, model).mapInPandas(run, "doc_id long, text string").unionByName(rest)
+    return map_rows(find(documents, model), run, "doc_id long, text string").unionByName(rest)

@@ -68,6 +68,7 @@ def test_checks_move_and_drop():
     assert at("ID 915-28-0523", "28-0523", "id_number") == 3 and at("QQ 89 57 28 D", "57 28", "id_number") == 0
     assert at("Dr. Petra Arrozal", "Dr. Petra Arrozal", "name") == 4 and at("by B. Tarvino", "Tarvino", "name") == 3
     assert at("M. Anselm Kestervane", "M. Anselm Kestervane", "name") == 3 and at("Montag", "Montag", "name") is None
+    assert at("Le vieux feu", "Le vieux", "name") is None and at("by Odric von Brandlow.", "Odric von Brandlow", "name") == 3
     assert at("Ecke 白鹭大道 147 号", "白鹭大道 147", "address") == 5 and at("Larkspur Lane", "Larkspur Lane", "address") is None
 
 
@@ -79,3 +80,5 @@ def test_found_and_masked(spark, model):
     texts = sorted(((r.doc_id, r.text) for r in pii.masked(df, model).collect()), key=repr)
     assert (1, "You can write to [EMAIL] for the full table.") in texts and (2, None) in texts and (4, "  ") in texts and len(texts) == 6
     assert pii.found(df.limit(0), model).count() == 0
+    odd = spark.createDataFrame([(None, rows[0][1]), ((1 << 62) + 1, rows[0][1])], "doc_id long, text string")
+    assert {r.doc_id for r in pii.found(odd, model).collect()} == {None, (1 << 62) + 1}
