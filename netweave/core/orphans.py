@@ -58,50 +58,69 @@ def spans_of(targets: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFr
     return _islands(_islands(add_chunks(spans, ["key"], "start", rows_per_chunk), ["key", "chunk"]).drop("chunk"), ["key"])
 
 
-def _split_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, how: str) -> DataFrame:
-    """Join whose heavy keys are broadcast and whose other keys are shuffled; heavy must be small by its count."""
+def _meet(groups: DataFrame, spans: DataFrame, heavy: DataFrame, hits: list) -> DataFrame:
+    """Per group (key, period): the aggregates ``hits`` over the spans of its key.
+
+    Heavy keys have many spans but few groups, so their groups are broadcast and their spans stay where they are; other
+    keys meet in a shuffle. No list of spans is ever gathered.
+    """
     parts = []
     for keep in ("left_semi", "left_anti"):
-        a, b = (df.join(F.broadcast(heavy), keys, keep) for df in (left, right))
-        parts.append(a.join(F.broadcast(b) if keep == "left_semi" else b, keys, how))
+        g, s = (df.join(F.broadcast(heavy), "key", keep) for df in (groups, spans))
+        parts.append(s.join(F.broadcast(g) if keep == "left_semi" else g, "key").groupBy("key", "period").agg(*hits))
     return reduce(DataFrame.unionByName, parts)
 
 
 def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Group verdicts (key, period, n, verdict, ...) and the references with their status.
+    """Group verdicts (key, period, n, verdict) and the references with their status.
 
-    refs: key, at and further columns; targets: key, start, end. Groups of at least heavy_rows references are at
-    most total / heavy_rows, so their keys, spans and verdicts may be broadcast.
+    refs: key, at and further columns; targets: key, start, end. Keys with at least heavy_rows references in a month or
+    spans in all are at most rows / heavy_rows; only their groups (one row a month) and verdicts are broadcast.
     """
-    refs = refs.where("key is not null").withColumn("period", F.date_trunc("month", F.coalesce(F.col("at"), F.lit("1970-01-01").cast("timestamp_ntz"))).cast("timestamp_ntz"))
-    groups = refs.groupBy("key", "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    groups = cut(groups, "groups")
-    spans = spans_of(targets)
-    heavy_keys = groups.where(F.col("n") >= heavy_rows).select("key").distinct()
-    first = spans.groupBy("key").agg(F.min("start").alias("first"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("all_spans"))
-    met = _split_join(groups, first, ["key"], heavy_keys, "left")
-    near = F.filter("all_spans", lambda s: (s["start"] <= F.col("hi")) & (s["end"] > F.col("lo")))
-    covers = F.exists("near", lambda s: (s["start"] <= F.col("lo")) & (s["end"] > F.col("hi")))
-    verdicts = met.withColumn("near", near).select(
-        "key", "period", "n", "first",
-        F.when(F.col("first").isNull(), "missing").when(F.col("lo").isNull() | covers, "good").when(F.size("near") > 0, "mixed")
-        .when(F.col("first") <= F.col("lo"), "deleted").otherwise("late").alias("verdict"), "near",
+    refs = refs.where("key is not null").withColumn("period", F.date_trunc("month", F.coalesce(F.col("at"), F.expr("timestamp_ntz'1970-01-01'"))).cast("timestamp_ntz"))
+    groups = cut(refs.groupBy("key", "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")), "groups")
+    spans = cut(spans_of(targets), "spans")
+    heavy = groups.where(F.col("n") >= heavy_rows).select("key").union(spans.groupBy("key").count().where(F.col("count") >= heavy_rows).select("key")).distinct()
+    touches = (F.col("start") <= F.col("hi")) & (F.col("end") > F.col("lo"))
+    covers = (F.col("start") <= F.col("lo")) & (F.col("end") > F.col("hi"))
+    met = _meet(groups, spans, heavy, [F.min("start").alias("first"), F.bool_or(covers).alias("covered"), F.bool_or(touches).alias("touched")])
+    verdict = (
+        F.when(F.col("first").isNull(), "missing").when(F.col("lo").isNull() | F.col("covered"), "good").when(F.col("touched"), "mixed")
+        .when(F.col("first") <= F.col("lo"), "deleted").otherwise("late")
     )
-    verdicts = cut(verdicts, "verdicts")
-    heavy_groups = verdicts.where(F.col("n") >= heavy_rows).select("key", "period")
-    rows = _split_join(refs, verdicts.drop("n"), ["key", "period"], heavy_groups, "inner")
-    there = F.exists("near", lambda s: (s["start"] <= F.col("at")) & (s["end"] > F.col("at")))
-    status = (
-        F.when(F.col("verdict") != "mixed", F.col("verdict")).when(F.col("at").isNull() | there, "good")
-        .when(F.col("first") <= F.col("at"), "deleted").otherwise("late")
-    )
-    return verdicts, rows.withColumn("status", status).drop("verdict", "first", "near")
+    verdicts = cut(groups.join(met, ["key", "period"], "left").withColumn("verdict", verdict), "verdicts")
+
+    big = verdicts.where(F.col("n") >= heavy_rows)
+    small = verdicts.where(F.col("n") < heavy_rows)
+    keys = ["key", "period"]
+    rows = reduce(DataFrame.unionByName, [
+        refs.join(F.broadcast(big.select(*keys)), keys, "left_semi").join(F.broadcast(big.select(*keys, "first", "verdict")), keys),
+        refs.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(small.select(*keys, "first", "verdict"), keys),
+    ])
+    # rows of mixed groups meet the spans day by day, so that a hot key is spread over its days
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    mixed = verdicts.where("verdict = 'mixed'").select("key", "lo", "hi")
+    heavy_mixed = mixed.join(F.broadcast(heavy), "key", "left_semi")
+    near = reduce(DataFrame.unionByName, [
+        spans.join(F.broadcast(heavy_mixed), "key"), spans.join(F.broadcast(heavy), "key", "left_anti").join(mixed, "key")
+    ]).where(touches).select("key", "start", "end", F.explode(F.sequence(day(F.greatest("start", "lo")), day(F.least("end", "hi")), F.expr("interval 1 day"))).alias("day"))
+    near = near.select(F.col("key").alias("span_key"), "start", "end", F.col("day").alias("span_day"))
+    open_rows = rows.where("verdict = 'mixed'").withColumn("day", day(F.col("at")))
+    there = (F.col("key") == F.col("span_key")) & (F.col("day") == F.col("span_day")) & (F.col("start") <= F.col("at")) & (F.col("end") > F.col("at"))
+    absent = F.when(F.col("at").isNull(), "good").when(F.col("first") <= F.col("at"), "deleted").otherwise("late")
+    out = [
+        rows.where("verdict <> 'mixed'").withColumn("status", F.col("verdict")),
+        open_rows.join(near, there, "left_semi").withColumn("status", F.lit("good")).drop("day"),
+        open_rows.join(near, there, "left_anti").withColumn("status", absent).drop("day"),
+    ]
+    return verdicts, reduce(DataFrame.unionByName, out).drop("verdict", "first")
 
 
 def _references(certificates: DataFrame, manifest: DataFrame, directories: DataFrame, heavy_rows: int):
     listings = manifest.select(file_meant("flow_file").alias("key"), digest_meant("flow_sha256").alias("digest"), F.col("listed_at").alias("start"), F.col("removed_at").alias("end"))
     files = certificates.select("record_id", file_meant("flow_file").alias("key"), digest_meant("flow_sha256").alias("digest"), F.col("recorded_at").cast("timestamp_ntz").alias("at"))
-    by_file = judge(files, listings, heavy_rows)
+    verdicts, rows = judge(files, listings, heavy_rows)
+    by_file = verdicts, cut(rows, "file-status")
     both = F.concat_ws("|", "key", "digest").alias("key")
     right_file = by_file[1].where("status = 'good' and digest is not null and at is not null")
     by_digest = judge(right_file.select("record_id", both, "at"), listings.where("digest is not null").select(both, "start", "end"), heavy_rows)
