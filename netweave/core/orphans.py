@@ -1,6 +1,6 @@
 """References to records that do not exist, with their status at the time of the reference.
 
-Targets are reduced to disjoint spans of time per key. References are pre-aggregated per key and period, and a
+Targets are reduced to merged spans of time per key. References are pre-aggregated per key and period, and a
 whole group is judged at once: all good, all missing, all deleted, all late, or mixed. Heavy groups (few, by count)
 are checked by broadcast, the remaining keys by a shuffle join; only mixed groups look at single rows. Orphan
 counts come from the groups without touching their rows, but for the mixed ones.
@@ -52,10 +52,13 @@ def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spans_of(targets: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Disjoint spans (key, start, end) in which a target is there; hot keys are merged chunk by chunk first."""
+    """Spans (key, start, end) in which a target is there, merged where they overlap; a hot key only within chunks of time.
+
+    Spans of different chunks may overlap; that only leaves a group for its rows to decide.
+    """
     spans = targets.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.coalesce(F.col("end").cast("timestamp_ntz"), F.expr(_FAR)).alias("end"))
     spans = spans.where("key is not null and start is not null")
-    return _islands(_islands(add_chunks(spans, ["key"], "start", rows_per_chunk), ["key", "chunk"]).drop("chunk"), ["key"])
+    return _islands(add_chunks(spans, ["key"], "start", rows_per_chunk), ["key", "chunk"]).drop("chunk")
 
 
 def _meet(groups: DataFrame, spans: DataFrame, heavy: DataFrame, hits: list) -> DataFrame:
@@ -71,7 +74,7 @@ def _meet(groups: DataFrame, spans: DataFrame, heavy: DataFrame, hits: list) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS) -> tuple[DataFrame, DataFrame]:
+def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, DataFrame]:
     """Group verdicts (key, period, n, verdict) and the references with their status.
 
     refs: key, at and further columns; targets: key, start, end. Keys with at least heavy_rows references in a month or
@@ -79,7 +82,7 @@ def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS) ->
     """
     refs = refs.where("key is not null").withColumn("period", F.date_trunc("month", F.coalesce(F.col("at"), F.expr("timestamp_ntz'1970-01-01'"))).cast("timestamp_ntz"))
     groups = cut(refs.groupBy("key", "period").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")), "groups")
-    spans = cut(spans_of(targets), "spans")
+    spans = cut(spans_of(targets, rows_per_chunk), "spans")
     heavy = groups.where(F.col("n") >= heavy_rows).select("key").union(spans.groupBy("key").count().where(F.col("count") >= heavy_rows).select("key")).distinct()
     touches = (F.col("start") <= F.col("hi")) & (F.col("end") > F.col("lo"))
     covers = (F.col("start") <= F.col("lo")) & (F.col("end") > F.col("hi"))
