@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions.jsontext import record_key
-from netweave.session import map_rows, shuffle_width, work_dir
+from netweave.session import map_rows, work_dir
 
 SMALL_BYTES, MAX_SMALL_FILES, TARGET_BYTES = 8 << 20, 8, 128 << 20
+#: Bounds on the partitions of a sink dataset and on the tasks of a rewrite; larger partitions get more files.
+MOST_BUCKETS, MOST_TASKS = 4096, 20_000
 
 
 class Conflict(RuntimeError):
@@ -112,8 +114,8 @@ def compact_parquet(
     """Compact ``<root>/data`` in place; only partitions with more than max_small_files small files.
 
     Rows go to files of about target_bytes: a partition gets ``ceil(bytes / target)`` writers, and its rows
-    are spread over them by a hash, so that one hot partition never lands in one task. With ``keep``, only
-    rows whose ``unique`` columns occur there stay (each at most once), in all rewritten partitions.
+    are spread over them by a hash, so that one hot partition never lands in one task. ``due`` (column partition)
+    names further partitions to rewrite. With ``keep``, only rows whose ``unique`` columns occur there stay.
     """
     log, data = SnapshotLog(spark, root), f"{root}/data"
     version = log.current()
@@ -131,15 +133,17 @@ def compact_parquet(
         rows = spark.read.option("basePath", data).option("mergeSchema", "false").parquet(*[f"{data}/{p}" for p in todo])
         if keep is not None:
             rows = rows.join(keep, same_place(rows, keep, unique), "left_semi")
-        writers = F.create_map(*[x for p, r in todo.items() for x in (F.lit(p), F.lit(max(1, -(-r.n_bytes // target_bytes))))])
         label = F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names])
-        spread = F.pmod(F.xxhash64(*[c for c in (unique or rows.columns)]), F.coalesce(writers[label], F.lit(1)))
+        # one row per partition: how many files its rows are spread over
+        plan = spark.createDataFrame([(p, max(1, -(-r.n_bytes // target_bytes))) for p, r in todo.items()], "_partition string, _files long")
+        rows = rows.withColumn("_partition", label).join(F.broadcast(plan), "_partition", "left")
+        spread = F.pmod(F.xxhash64(*(unique or [c for c in rows.columns if c[0] != "_"])), F.coalesce("_files", F.lit(1)))
         total = sum(max(1, -(-r.n_bytes // target_bytes)) for r in todo.values())
         now = {r.partition: r.fingerprint for r in partition_sizes(data_files(spark, data), small_bytes, ["partition"]).collect()}
         if any(now.get(p) != r.fingerprint for p, r in todo.items()):
             raise Conflict("files changed since the plan was made")
         (
-            rows.repartition(min(total, 4 * shuffle_width(spark)), *names, spread)
+            rows.repartition(min(total, MOST_TASKS), *names, spread).drop("_partition", "_files")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(data)
         )
     except BaseException:
@@ -173,12 +177,12 @@ def compact_sink_files(
 
     ``<root>/data`` then holds each record once (partitions kind, bucket), ``<root>/folded`` the place of each
     line whose record was there before. Sinks are spread over ``ceil(bytes / target)`` buckets, so that buckets
-    come out well-sized whatever the sizes of the sinks.
+    come out well-sized whatever the sizes of the sinks; beyond MOST_BUCKETS a bucket holds several files.
     """
     spark = files.sparkSession
     root = root or work_dir(spark, "sinks")
     total = files.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, -(-total // target_bytes))
+    buckets = min(MOST_BUCKETS, max(1, -(-total // target_bytes)))
     lines = record_lines(files).select(
         "*", F.when(F.col("record_key").isNull(), "reject").otherwise("record").alias("kind"),
         F.pmod(F.xxhash64("sink"), F.lit(buckets)).cast("int").alias("bucket"),
