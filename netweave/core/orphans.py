@@ -93,13 +93,13 @@ def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS, row
     )
     verdicts = cut(groups.join(met, ["key", "period"], "left").withColumn("verdict", verdict), "verdicts")
 
-    big = verdicts.where(F.col("n") >= heavy_rows)
-    small = verdicts.where(F.col("n") < heavy_rows)
-    keys = ["key", "period"]
-    rows = reduce(DataFrame.unionByName, [
-        refs.join(F.broadcast(big.select(*keys)), keys, "left_semi").join(F.broadcast(big.select(*keys, "first", "verdict")), keys),
-        refs.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(small.select(*keys, "first", "verdict"), keys),
-    ])
+    # heavy groups meet their verdict by broadcast; their rows then carry a key that spreads them and matches nothing
+    big = verdicts.where(F.col("n") >= heavy_rows).select("key", "period", F.col("first").alias("big_first"), F.col("verdict").alias("big_verdict"))
+    small = verdicts.where(F.col("n") < heavy_rows).select(F.col("key").alias("small_key"), F.col("period").alias("small_period"), "first", "verdict")
+    rows = refs.join(F.broadcast(big), ["key", "period"], "left")
+    rows = rows.withColumn("meet", F.when(F.col("big_verdict").isNotNull(), F.concat(F.lit("\u0001"), F.xxhash64(*refs.columns).cast("string"))).otherwise(F.col("key")))
+    rows = rows.join(small, (F.col("meet") == F.col("small_key")) & (F.col("period") == F.col("small_period")), "left")
+    rows = cut(rows.select(*refs.columns, F.coalesce("big_first", "first").alias("first"), F.coalesce("big_verdict", "verdict").alias("verdict")), "judged")
     # rows of mixed groups meet the spans day by day, so that a hot key is spread over its days
     day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
     mixed = verdicts.where("verdict = 'mixed'").select("key", "lo", "hi")
@@ -122,8 +122,7 @@ def judge(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS, row
 def _references(certificates: DataFrame, manifest: DataFrame, directories: DataFrame, heavy_rows: int):
     listings = manifest.select(file_meant("flow_file").alias("key"), digest_meant("flow_sha256").alias("digest"), F.col("listed_at").alias("start"), F.col("removed_at").alias("end"))
     files = certificates.select("record_id", file_meant("flow_file").alias("key"), digest_meant("flow_sha256").alias("digest"), F.col("recorded_at").cast("timestamp_ntz").alias("at"))
-    verdicts, rows = judge(files, listings, heavy_rows)
-    by_file = verdicts, cut(rows, "file-status")
+    by_file = judge(files, listings, heavy_rows)
     both = F.concat_ws("|", "key", "digest").alias("key")
     right_file = by_file[1].where("status = 'good' and digest is not null and at is not null")
     by_digest = judge(right_file.select("record_id", both, "at"), listings.where("digest is not null").select(both, "start", "end"), heavy_rows)
