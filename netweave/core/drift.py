@@ -111,10 +111,11 @@ def quantities(schemas: DataFrame) -> dict[str, str]:
 
 def changes(files: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """sink, file_id, field, drift: each change of a sink's fields from one file to the next."""
-    schemas = cut(add_chunks(file_schemas(files), ["sink"], "written_at", rows_per_chunk), "schemas")
+    order = ["written_at", "file_id"]
+    listed = files.select("sink", "file_id", F.col("written_at").cast("timestamp_ntz").alias("written_at"))
+    schemas = cut(add_chunks(file_schemas(files), ["sink"], order, rows_per_chunk, listed), "schemas")
     of = quantities(schemas)
     lookup = F.create_map(*[F.lit(x) for pair in (of or {"": ""}).items() for x in pair])
-    order = ["written_at", "file_id"]
 
     names = schemas.select("sink", "chunk", *order, F.col("fields.name").alias("names"))
     steps = lag_over_chunks(names, ["sink"], order, "names", "was").where("was is not null")

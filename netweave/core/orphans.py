@@ -58,7 +58,7 @@ def spans_of(targets: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFr
     """
     spans = targets.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.coalesce(F.col("end").cast("timestamp_ntz"), F.expr(_FAR)).alias("end"))
     spans = spans.where("key is not null and start is not null")
-    return _islands(add_chunks(spans, ["key"], "start", rows_per_chunk), ["key", "chunk"]).drop("chunk")
+    return _islands(add_chunks(spans, ["key"], ["start", "end"], rows_per_chunk), ["key", "chunk"]).drop("chunk")
 
 
 def _meet(groups: DataFrame, spans: DataFrame, heavy: DataFrame, hits: list) -> DataFrame:

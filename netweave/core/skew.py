@@ -9,26 +9,45 @@ from pyspark.sql import functions as F
 ROWS_PER_CHUNK = 200_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], at: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """The keys with more than rows_per_chunk rows, with their count and range of ``at``.
+#: Rows that are looked at per chunk to find where chunks end; the ends of a hot key are chosen in one row.
+SEEN_PER_CHUNK = 16
+
+
+def heavy_keys(df: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The keys with more than rows_per_chunk rows, with their count.
 
     The count aggregates map-side; at most total / rows_per_chunk rows come out, so the result can be broadcast.
     """
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).where(F.col("n") > rows_per_chunk)
-
-
-def add_chunks(df: DataFrame, keys: list[str], at: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Adds ``chunk``: 0 for ordinary keys, an equal-width slice of the time ``at`` for heavy ones."""
-    heavy = heavy_keys(df, keys, at, rows_per_chunk).select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "lo", "hi")
-    same = [df[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    share = (seconds(at) - seconds("lo")) / F.greatest(seconds("hi") - seconds("lo"), F.lit(1e-6))
-    slices = F.ceil(F.col("n") / F.lit(rows_per_chunk))
-    chunk = F.coalesce(F.least(F.floor(share * slices), slices - 1), F.lit(0)).cast("long")
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return df.join(F.broadcast(heavy), on, "left").withColumn("chunk", chunk).drop(*[f"_{k}" for k in keys], "n", "lo", "hi")
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_chunk)
+
+
+def chunk_ends(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Per heavy key the quantiles of ``order`` at which its chunks begin, from an even sample of its rows.
+
+    Quantiles of the whole order, not of a time alone, so that equal times and bursts are cut too.
+    """
+    every = max(1, rows_per_chunk // SEEN_PER_CHUNK)
+    seen = df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(*keys, F.struct(*order).alias("at"))
+    heavy = heavy_keys(df, keys, rows_per_chunk).drop("n")
+    on = [seen[k].eqNullSafe(heavy[k]) for k in keys]
+    lists = seen.join(F.broadcast(heavy), on, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    step = max(1, rows_per_chunk // every)
+    return lists.select(*keys, F.array_distinct(F.filter("ats", lambda x, i: (i > 0) & (i % step == 0))).alias("ends"))
+
+
+def add_chunks(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK, of: DataFrame | None = None) -> DataFrame:
+    """Adds ``chunk``: 0 for ordinary keys, a slice of ``order`` (nulls first) for heavy ones; it rises with the order.
+
+    ``of`` is a frame with the same keys and order that is cheaper to read; it may hold more rows.
+    """
+    ends = chunk_ends(df if of is None else of, keys, order, rows_per_chunk).select(*[F.col(k).alias(f"_{k}") for k in keys], "ends")
+    on = df[keys[0]].eqNullSafe(F.col(f"_{keys[0]}"))
+    for k in keys[1:]:
+        on = on & df[k].eqNullSafe(F.col(f"_{k}"))
+    at = F.struct(*order)
+    chunk = F.coalesce(F.size(F.filter("ends", lambda e: e <= at)), F.lit(0))
+    # without ends, size() gives -1 or null, by setting
+    return df.join(F.broadcast(ends), on, "left").withColumn("chunk", F.greatest(chunk, F.lit(0)).cast("long")).drop(*[f"_{k}" for k in keys], "ends")
 
 
 def lag_over_chunks(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

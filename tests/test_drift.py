@@ -1,7 +1,10 @@
 import json
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from netweave.core import drift as d
+from netweave.core.skew import add_chunks
 
 SCHEMA = "file_id long, sink string, written_at timestamp_ntz, body string, field string"
 
@@ -32,6 +35,16 @@ def test_a_hot_sink_in_chunks_gives_the_same(spark, rows):
     assert (None, 4, "note", "added") in rows(d.changes(df, rows_per_chunk=2), "sink", "file_id", "field", "drift")
 
 
+def test_hot_sinks_with_null_equal_and_bunched_times(spark, rows):
+    records = [[{"mu": 1} | ({"note": "x"} if i % 3 == 0 else {}) | ({"gate": i if i % 4 else "y"})] for i in range(40)]
+    df = files(spark, *records)
+    for at in ("if(file_id <= 7, null, written_at)", "cast(null as timestamp_ntz)", "timestamp_ntz'2025-01-01'", "if(file_id = 1, timestamp_ntz'1999-01-01', timestamp_ntz'2025-01-01')"):
+        timed = df.withColumn("written_at", F.expr(at))
+        assert rows(d.changes(timed, rows_per_chunk=3)) == rows(d.changes(timed))
+        cut = add_chunks(timed, ["sink"], ["written_at", "file_id"], 3).groupBy("chunk").count().collect()
+        assert len(cut) > 10 and max(r["count"] for r in cut) <= 4
+
+
 def test_names_of_one_quantity():
     alike = [("budget_seconds", "budgetSeconds"), ("unresolved", "is_unresolved"), ("is_unresolved", "unresolved_flag"), ("env_windows_held", "envelope_windows_held"), ("peak_rss", "peak_rss_mb"), ("inclusionEnvelopeSettled", "envelope_settled")]
     assert all(d.same_quantity(*p) and d.same_quantity(*p[::-1]) for p in alike)
