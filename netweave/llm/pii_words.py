@@ -1,0 +1,82 @@
+"""Word lists and carriers of the generator that were written without the corpus: WIDE to train on, HELD to evaluate on.
+
+WIDE and HELD share no name, street, domain or carrier with each other or with the lists of pii_spans. Slots are those
+of pii_spans.CARRIERS.
+"""
+
+from __future__ import annotations
+
+WIDE = {
+    "given": (
+        "Abigail Adrian Agnes Albert Alina Amara Andrei Anton Arthur Astrid Aurelio Beatriz Benedict Birgit Boris Camille Carlos Cecilia Charlotte Cornelia Cyril Damian Daniela Dieter Dmitri Edith Eduardo "
+        "Emeka Emil Esther Fatima Fernanda Florian Frieda Gabriel Georg Giulia Gordon Hannah Hassan Heinrich Helena Ibrahim Irene Isaac Ivana Jakob Janet Joaquin Joseph Judith Kenneth Khalid Kirsten Laurent Leonie"
+    ).split(),
+    "family": (
+        "Abernathy Achterberg Almeida Andersson Bachmann Baranova Beaumont Bergstrom Blackwood Bonnard Cabrera Carmichael Chaudhry Cortese Crawford Dahlgren Delacroix Dombrowski Eberhardt Escobar Fairbanks Ferreira "
+        "Fitzgerald Fontaine Gallagher Garnier Goldberg Grunwald Gutierrez Hargreaves Hernandez Hoffmann Hutchinson Iglesias Jankowski Johansson Karlsson Kaufmann Kovalenko Lachance Lombardi MacGregor Maldonado "
+        "Mbeki Mensah Moreau Nakamura Navarro Nikolaidis Novotny Oliveira Papadakis Pellegrini Quintero Rasmussen Rosenthal Schneider Stevenson Takahashi Thibault Ungerer Vandenberg Villanueva Whitfield Yamamoto Zimmermann"
+    ).split(),
+    "given_ru": "Алексей Борис Вера Галина Дарья Евгений Жанна Зоя Ирина Кирилл Лариса Максим Никита Оксана Роман Светлана".split(),
+    "family_ru": "Абрамов Белова Виноградов Громова Дмитриев Ефимова Жуков Зайцева Ильин Комарова Литвинов Морозова Никитин Орлова Поляков Рябова".split(),
+    "domains": ["mailbox.example", "office.invalid", "north.example.com", "team.example.net", "inbox.test", "company.example", "webpost.example.org", "firm.invalid", "uni-west.example", "k9.test"],
+    "heads": "Arn Brock Clif Dun Ell Far Glen Hav Ket Lang Mor Nor Oak Pem Rav Sto Thorn Wal".split(),
+    "tails": "bury chester field gate hurst leigh minster port ridge ton".split(),
+    "streets": {
+        "en": ["Station Road", "Queen's Drive", "Chestnut Grove", "Victoria Terrace", "Orchard Way", "Abbey Lane", "Lower Park Street", "Windmill Hill", "Meadow Crescent", "Lincoln Blvd", "Prospect Ave"],
+        "de": ["Bahnhofstraße", "Goethestr.", "Am Stadtpark", "Rosenweg", "Schillerplatz", "Lange Reihe", "Ulmenallee", "Im Winkel", "Neuer Wall", "Ackerstraße"],
+        "fr": ["rue de la République", "avenue Victor-Hugo", "boulevard Voltaire", "impasse des Lilas", "chemin du Lavoir", "place de l'Église", "quai de la Loire", "allée des Cerisiers", "cours Lafayette"],
+        "es": ["Calle de Alcalá", "Avenida de América", "Paseo del Prado", "Plaza de España", "C/ San Juan", "Ronda de Toledo", "Camino de los Pinos", "Travesía del Sol", "Avda. de la Paz"],
+        "ru": ["ул. Гагарина", "пр. Мира", "ул. Лесная", "пер. Почтовый", "наб. Фонтанки", "улица Чехова", "ул. Полевая", "бул. Победы", "Заречная ул."],
+        "zh": ["人民路", "中山大道", "解放街", "长安街", "和平巷", "建设路", "文化路", "東湖大街"],
+    },
+    "carriers": {
+        "en": ["Invoice for {N}, {A}, due at once.", "For bookings dial {P} or mail {E}.", "Passport or ID: {I}", "Dear {N}, your parcel is ready.", "Her colleague {N} can be reached on {P}.", "Billing address: {A}", "Yours sincerely, {N}", "Reply-to: {E}", "Tel. {P}", "Tenant {N} moved to {A} last year.", "Patient {N}, no. {I}, was discharged."],
+        "de": ["Rechnung an {N}, {A}, sofort fällig.", "Buchungen unter {P} oder {E}.", "Pass oder Ausweis: {I}", "Guten Tag {N}, Ihr Paket ist da.", "Die Kollegin {N} erreichen Sie unter {P}.", "Rechnungsanschrift: {A}", "Mit freundlichen Grüßen, {N}", "Mail: {E}", "Tel. {P}", "Mieterin {N} zog nach {A} um."],
+        "fr": ["Facture pour {N}, {A}, à régler.", "Réservations au {P} ou par {E}.", "Passeport ou carte : {I}", "Bonjour {N}, votre colis est prêt.", "Sa collègue {N} répond au {P}.", "Adresse de facturation : {A}", "Cordialement, {N}", "Courriel : {E}", "Tél. {P}", "Le locataire {N} habite {A}."],
+        "es": ["Factura para {N}, {A}, por pagar.", "Reservas en el {P} o en {E}.", "Pasaporte o DNI: {I}", "Hola {N}, su paquete está listo.", "Su colega {N} atiende en el {P}.", "Dirección de facturación: {A}", "Un saludo, {N}", "Correo: {E}", "Tel. {P}", "La inquilina {N} vive en {A}."],
+        "ru": ["Счёт: {N}, {A}, к оплате.", "Бронь: {P} или {E}.", "Паспорт: {I}", "Здравствуйте, {N}, посылка готова.", "Коллега {N} ответит: {P}.", "Адрес для счёта: {A}", "С уважением, {N}", "Почта: {E}", "Тел. {P}", "Жилец {N} переехал: {A}."],
+        "zh": ["发票抬头 {N}，{A}。", "预订请打 {P} 或写信到 {E}。", "护照或证件：{I}", "{N} 您好，包裹已到。", "同事 {N} 的电话是 {P}。", "账单地址：{A}", "此致，{N}", "邮箱：{E}", "电话 {P}", "租客 {N} 搬到了 {A}。"],
+    },
+    "plain": {
+        "en": ["Tickets cost {n} on {d}.", "The museum in {t} opens at {n}.", "Order {x} ships from {t}.", "Most of {w} is cobbled.", "See {h} for details.", "Version {x} fixes {n} bugs.", "The Lake Festival returns on {d}."],
+        "de": ["Karten kosten {n} am {d}.", "Das Museum in {t} öffnet um {n}.", "Bestellung {x} kommt aus {t}.", "{w} ist gepflastert.", "Näheres bei {h}.", "Version {x} behebt {n} Fehler.", "Der Große Markt beginnt am {d}."],
+        "fr": ["Les billets coûtent {n} {d}.", "Le musée de {t} ouvre à {n}.", "La commande {x} part de {t}.", "La {w} est pavée.", "Voir {h}.", "La version {x} corrige {n} erreurs.", "Le Grand Marché commence {d}."],
+        "es": ["Las entradas cuestan {n} {d}.", "El museo de {t} abre a las {n}.", "El pedido {x} sale de {t}.", "La {w} está empedrada.", "Vea {h}.", "La versión {x} corrige {n} fallos.", "El Gran Mercado empieza {d}."],
+        "ru": ["Билеты стоят {n}, день: {d}.", "Музей в {t} открыт с {n}.", "Заказ {x} едет из {t}.", "{w} вымощена камнем.", "Смотрите {h}.", "Версия {x}: исправлено {n} ошибок.", "Большой Рынок: {d}."],
+        "zh": ["{d}的门票是{n}元。", "{t}的博物馆{n}点开门。", "订单 {x} 从 {t} 发出。", "{w}铺着石板。", "详见 {h}。", "版本 {x} 修复了{n}个错误。"],
+    },
+}
+
+HELD = {
+    "given": "Adele Bertram Clarissa Dorothea Edmund Farida Gregor Henrietta Ignacio Jolanda Konrad Lucinda Malcolm Nathalie Oswald Penelope Rafaela Sebastian Theodora Ulrich Veronica Winston".split(),
+    "family": "Applegate Bielecki Castellano Drummond Engelhardt Figueroa Grosvenor Hakimi Isaksen Jaramillo Kirchhoff Lavallee McAllister Nyström Ostrowski Pritchard Rousseau Santangelo Tanaka Underhill Vasquez Wetherby".split(),
+    "given_ru": "Аркадий Виктор Глеб Елена Захар Людмила Надежда Степан".split(),
+    "family_ru": "Богданов Гусева Данилов Киселёва Макаров Панова Тихонов Фролова".split(),
+    "domains": ["letters.example", "clinic.invalid", "south.example.net", "bureau.test", "shop-one.example"],
+    "heads": "Ayl Bex Chal Dor Ems Grim Hex Inver".split(),
+    "tails": "bourne combe stow thorpe wood".split(),
+    "streets": {
+        "en": ["Church Road", "King Edward Avenue", "Sycamore Lane", "Market Street", "Highfield Close"],
+        "de": ["Dorfplatz", "Beethovenstr.", "Tannenweg", "Am Rathaus", "Marktplatz"],
+        "fr": ["rue Pasteur", "avenue de la Gare", "boulevard Gambetta", "chemin des Vignes", "place Carnot"],
+        "es": ["Calle de Goya", "Avenida de Colón", "Paseo de Gracia", "Plaza Nueva", "C/ Santa Ana"],
+        "ru": ["ул. Пушкина", "пр. Ленина", "пер. Школьный", "ул. Набережная", "улица Кирова"],
+        "zh": ["南京路", "新华大街", "光明巷", "五一大道"],
+    },
+    "carriers": {
+        "en": ["Winner of the raffle: {N}", "Questions go to {E} please.", "The plumber answers on {P} all week.", "He gave {A} as his home.", "Taxpayer {I} filed late.", "Yesterday {N} phoned from {P}."],
+        "de": ["Gewonnen hat {N} die Verlosung.", "Fragen gehen an {E} bitte.", "Den Klempner erreicht man unter {P} täglich.", "Als Wohnung gab er {A} an.", "Steuerpflichtiger {I} kam zu spät.", "Gestern rief {N} von {P} an."],
+        "fr": ["La tombola a été gagnée par {N}", "Vos questions vont à {E}.", "Le plombier répond au {P} chaque jour.", "Il a donné {A} comme domicile.", "Le contribuable {I} a tardé.", "Hier {N} a téléphoné du {P}."],
+        "es": ["Ganó la rifa {N} ayer.", "Las preguntas van a {E}.", "El fontanero contesta en el {P} siempre.", "Dio {A} como domicilio.", "El contribuyente {I} llegó tarde.", "Ayer {N} telefoneó desde el {P}."],
+        "ru": ["Лотерею выиграл участник {N}.", "Вопросы сюда: {E}.", "Сантехник отвечает: {P} всю неделю.", "Он назвал дом: {A}.", "Плательщик {I} опоздал.", "Вчера {N} набирал {P}."],
+        "zh": ["抽奖得主是 {N}。", "有疑问写给 {E}。", "水管工的号码 {P}。", "他登记的住处是 {A}。", "纳税人 {I} 迟交。", "昨天 {N} 用 {P} 来电。"],
+    },
+    "plain": {
+        "en": ["Snow fell on {t} for {n} hours.", "Bakery prices rose by {n} on {d}.", "Ticket {x} is still open."],
+        "de": ["In {t} schneite es {n} Stunden.", "Das Brot kostet {d} {n} mehr.", "Vorgang {x} ist noch offen."],
+        "fr": ["Il a neigé {n} heures à {t}.", "Le pain coûte {n} de plus {d}.", "Le dossier {x} reste ouvert."],
+        "es": ["Nevó {n} horas en {t}.", "El pan sube {n} {d}.", "El caso {x} sigue abierto."],
+        "ru": ["Снег шёл {n} часов, место: {t}.", "Хлеб дороже на {n}, день: {d}.", "Заявка {x} ещё открыта."],
+        "zh": ["{t}下了{n}小时的雪。", "面包{d}涨了{n}分。", "工单 {x} 仍未关闭。"],
+    },
+}

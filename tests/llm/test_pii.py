@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from netweave.llm import pii, tagger
-from netweave.llm.pii_spans import Spans
+from netweave.llm.pii_spans import CORPUS_LIKE, EVALUATED, TRAINED, Spans
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,25 @@ def test_held_out_accuracy(model):
     assert hit / said > 0.95 and hit / true > 0.93
 
 
+def test_evaluation_lists_are_disjoint_from_the_training_ones():
+    for k, held in EVALUATED.items():
+        flat = lambda v: {w for x in v.values() for w in x} if isinstance(v, dict) else set(v)
+        assert not flat(held) & flat(TRAINED[k]), k
+    assert all(len(TRAINED[k]) > len(CORPUS_LIKE[k]) for k in ("given", "family", "given_ru", "family_ru", "domains"))
+
+
+def test_accuracy_on_unknown_names_streets_and_carriers(model):
+    """Fitted to the corpus-like lists alone, the same small fit had 0.74 precision and 0.64 recall here."""
+    maker = Spans(99, EVALUATED, False)
+    made = [maker.text() for _ in range(500)]
+    hit = said = true = 0
+    for (text, spans), tags in zip(made, tagger.tag_texts(model, [t for t, _ in made])):
+        got = {(s, k) for s, _, k in pii.items(text, tagger.read_spans(tags))}
+        want = {(s, k) for s, _, k in spans}
+        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
+    assert hit / said > 0.78 and hit / true > 0.7
+
+
 def test_windows_cover_and_agree(model):
     assert all(tagger.windows(n)[0][0] == 0 and tagger.windows(n)[-1][1] == n for n in (1, 191, 192, 193, 5000))
     part = "You can write to livia.arrozal@example.org for the full table. "
