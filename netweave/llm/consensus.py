@@ -157,10 +157,14 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cell": batch["cell"], "field": batch["field"], "block": batch["block"], "profile": out})
 
 
+def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"cell": batch["cell"], "field": batch["field"], "wanted": [vote(json.loads(p)) for p in batch["profile"]]})
+
+
 def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        wanted = [vote(json.loads(p)) for p in batch["profile"]]
-        batch = batch.assign(distance=[distance(tokens(v), w) for v, w in zip(batch["value"], wanted)])
+        batch = batch.assign(distance=[distance(tokens(v), list(w)) for v, w in zip(batch["value"], batch["wanted"])])
         yield batch[["cell", "field", "value", "weight", "distance"]]
 
 
@@ -182,6 +186,22 @@ def weighted_values(grouped: DataFrame, fields: list[str]) -> DataFrame:
     return each.groupBy("cell", F.col("v.field").alias("field"), F.col("v.value").alias("value")).agg(F.greatest(F.round(F.sum(F.col("w") * F.col("v.sound")), 9), F.lit(1e-9)).alias("weight"))
 
 
+def consensus_tokens(hot: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
+    """cell, field, wanted: the tokens that win each column of hot fields (cell, field, value, weight, block of width).
+
+    A profile holds every distinct token of its field and stays in this step; what goes on to the values is one token per
+    column, voted once per cell and field.
+    """
+    keys = ["cell", "field"]
+    profiles = "cell string, field string, block long, profile string"
+    level = hot.groupBy(*keys, "block").agg(F.collect_list(F.struct("value", "weight")).alias("values")).mapInPandas(_profiles, profiles)
+    while width > 1:
+        level = level.withColumn("block", F.floor(F.col("block") / block)).groupBy(*keys, "block").agg(F.collect_list("profile").alias("profiles"))
+        level = cut(level.mapInPandas(_merged, profiles), "profiles")
+        width = -(-width // block)
+    return cut(level.mapInPandas(_votes, "cell string, field string, wanted array<string>"), "wanted")
+
+
 def consensus_values(values: DataFrame, block: int = BLOCK) -> DataFrame:
     """cell, field, value: the existing value closest to the consensus of each cell and field."""
     spark = values.sparkSession
@@ -197,13 +217,9 @@ def consensus_values(values: DataFrame, block: int = BLOCK) -> DataFrame:
     if many.isEmpty():
         return chosen
     hot = values.join(F.broadcast(many), keys).withColumn("block", F.pmod(F.xxhash64("value"), F.col("blocks")))
-    level = hot.groupBy(*keys, "block").agg(F.collect_list(F.struct("value", "weight")).alias("values")).mapInPandas(_profiles, "cell string, field string, block long, profile string")
-    width = many.agg(F.max("blocks")).first()[0]
-    while width > 1:
-        level = level.withColumn("block", F.floor(F.col("block") / block)).groupBy(*keys, "block").agg(F.collect_list("profile").alias("profiles"))
-        level = cut(level.mapInPandas(_merged, "cell string, field string, block long, profile string"), "profiles")
-        width = -(-width // block)
-    far = values.join(F.broadcast(level.select(*keys, "profile")), keys).mapInPandas(_distances, f"{schema}, weight double, distance long")
+    wanted = consensus_tokens(hot, many.agg(F.max("blocks")).first()[0], block)
+    # one short list per hot field
+    far = values.join(F.broadcast(wanted), keys).mapInPandas(_distances, f"{schema}, weight double, distance long")
     best = far.groupBy(*keys).agg(F.min(F.struct("distance", (-F.col("weight")).alias("w"), "value")).alias("b")).select(*keys, F.col("b.value").alias("value"))
     return chosen.unionByName(best)
 

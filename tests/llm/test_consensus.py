@@ -53,6 +53,15 @@ def test_hot_cell_in_blocks_chooses_an_existing_value(spark):
     assert r.n_records == 300 and r.stopped_on == "time budget" and r.residual in {x[6] for x in held}
 
 
+def test_values_of_a_hot_field_meet_one_token_per_column_only(spark):
+    values = [(f"1.{i * 7919 % 100003:06d}e-09", 1.0 + i % 3) for i in range(600)]
+    hot = spark.createDataFrame([("c", "residual", v, w, i % 10) for i, (v, w) in enumerate(values)], "cell string, field string, value string, weight double, block long")
+    r = c.consensus_tokens(hot, 10, 16).collect()
+    assert len(r) == 1 and r[0].wanted[:2] == ["1", "."] and len(r[0].wanted) < 12
+    chosen = c.consensus_values(hot.drop("block"), 16).first().value
+    assert chosen in {v for v, _ in values}
+
+
 def test_records_without_a_cell_and_empty_table(spark):
     df = frame(spark, [record(1, None), record(2, None), record(3, sweep=None)])
     assert c.representatives(df, FIELDS).count() == 3
