@@ -6,6 +6,8 @@ flow and iterates on that cell's arrays alone.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from netweave.operators.kernels import Graph, Support, bpr, zone_demand
 from netweave.plans.certificate import _NEEDED, graph_of
 from netweave.session import spread
 
-SOLVED_BELOW = 1e-8
+SOLVED_BELOW, FLOW_TOLERANCE = 1e-8, 1e-9
 
 
 def _cells(flows: DataFrame, congested: DataFrame, networks: DataFrame) -> DataFrame:
@@ -90,24 +92,62 @@ def solve(flows: DataFrame, congested: DataFrame, networks: DataFrame, averaging
     return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
 
 
-def inclusion(flows: DataFrame, congested: DataFrame, networks: DataFrame, rounds: int = 25, window: int = 10) -> DataFrame:
-    """The scheme with the support of the current cost: distinct supports in the last window, contested pairs, flow change."""
-    schema = "network string, mu double, n_supports long, n_contested long, n_base long, last_move double, settled boolean"
+def included(load, x: np.ndarray, rounds: int, window: int, same_windows: int | None = None, tolerance: float = FLOW_TOLERANCE) -> dict:
+    """Rounds of averaging with the support of the current flow, until a stop rule holds; load gives (flow, support mask).
+
+    The rules: no support within a whole window that wasn't seen before; ``same_windows`` whole windows with one envelope
+    (off by default); the flow moves less than the tolerance. Otherwise the verdict is "not settled yet".
+    """
+    first: dict[bytes, int] = {}
+    recent: dict[bytes, tuple[np.ndarray, int]] = {}
+    envelope, last, held, newest, stopped, k = None, None, 0, 0, "not settled yet", 0
+    for k in range(1, rounds + 1):
+        y, mask = load(x)
+        step = (y - x) / k
+        x = x + step
+        bits = np.packbits(mask)
+        key = blake2b(bits.tobytes(), digest_size=16).digest()
+        newest = k if first.setdefault(key, k) == k else newest
+        recent[key] = (bits, k)
+        for stale in [s for s, (_, at) in recent.items() if at <= k - window]:
+            del recent[stale]
+        envelope = (mask, mask) if envelope is None else (envelope[0] & mask, envelope[1] | mask)
+        if k % window == 0:
+            held = held + 1 if last is not None and all(np.array_equal(a, b) for a, b in zip(envelope, last)) else 1
+            last, envelope = envelope, None
+            if same_windows is not None and held >= same_windows:
+                stopped = "envelope settled"
+                break
+        if k - newest >= window:
+            stopped = "support set settled"
+            break
+        if k > 1 and np.abs(step).max(initial=0.0) <= tolerance * max(float(np.abs(x).max(initial=0.0)), 1.0):
+            stopped = "flow tolerance"
+            break
+    masks = [np.unpackbits(b, count=mask.size).astype(bool) for b, _ in recent.values()]
+    inner, union = np.logical_and.reduce(masks), np.logical_or.reduce(masks)
+    return {
+        "n_supports": len(masks), "n_contested": int((union & ~inner).sum()), "n_base": int(inner.sum()), "last_move": float(np.linalg.norm(step) / max(np.linalg.norm(x), 1e-30)),
+        "settled": stopped != "not settled yet", "stopped_on": stopped, "iterations": k, "n_supports_seen": len(first)}
+
+
+def inclusion(flows: DataFrame, congested: DataFrame, networks: DataFrame, rounds: int = 1000, window: int = 300, same_windows: int | None = None) -> DataFrame:
+    """The scheme with the support of the current cost: distinct supports in the last window, contested pairs, flow change.
+
+    ``settled`` says that a stop rule held, which one is in ``stopped_on``; a cell that needs more than ``rounds`` is not settled yet.
+    """
+    schema = "network string, mu double, n_supports long, n_contested long, n_base long, last_move double, settled boolean, stopped_on string, iterations long, n_supports_seen long"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("link_id")
         g, mu = graph_of(rows), float(rows["mu"].iloc[0])
-        parts = [rows[c].to_numpy() for c in ("fft", "capacity", "b", "power")]
-        x, demand, seen, move = rows["x"].to_numpy(), zone_demand(g.n, g.z), [], 0.0
-        for k in range(1, rounds + 1):
+        parts, demand = [rows[c].to_numpy() for c in ("fft", "capacity", "b", "power")], zone_demand(g.n, g.z)
+
+        def load(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             y, _, support = g.load(bpr(x, *parts), demand, mu)
-            move = float(np.linalg.norm(y - x) / k / max(np.linalg.norm(x), 1e-30))
-            x = x + (y - x) / k
-            seen = [*seen, support.mask][-window:]
-        inner, union = np.logical_and.reduce(seen), np.logical_or.reduce(seen)
-        return pd.DataFrame([{
-            "network": rows["network"].iloc[0], "mu": mu, "n_supports": len({m.tobytes() for m in seen}), "n_contested": int((union & ~inner).sum()), "n_base": int(inner.sum()),
-            "last_move": move, "settled": bool((union == inner).all())}])
+            return y, support.mask
+
+        return pd.DataFrame([{"network": rows["network"].iloc[0], "mu": mu, **included(load, rows["x"].to_numpy(), rounds, window, same_windows)}])
 
     return _cells(flows, congested, networks).groupBy("network", "mu").applyInPandas(run, schema)
 

@@ -169,6 +169,29 @@ def test_a_cell_is_solved_and_tilts_agree(spark):
     assert equilibrium.recovered_dispersion(links, net, y).count() == 1
 
 
+def test_inclusion_sees_slow_alternation_and_says_when_it_is_not_settled():
+    masks = np.array([[True, True, False], [True, False, True]])
+
+    def run(rounds, window, same_windows=None, fresh=False):
+        calls = [0]
+
+        def load(x):
+            calls[0] += 1
+            mask = np.array([int(b) for b in f"{calls[0]:012b}"], bool) if fresh else masks[calls[0] // 40 % 2]
+            return np.array([1.0, calls[0] % 7]), mask
+
+        return equilibrium.included(load, np.zeros(2), rounds, window, same_windows)
+
+    slow = run(1000, 300)
+    assert (slow["n_supports"], slow["n_contested"], slow["n_base"], slow["stopped_on"], slow["iterations"]) == (2, 2, 1, "support set settled", 340)
+    assert run(25, 300)["stopped_on"] == "not settled yet" and not run(25, 300)["settled"]
+    new = run(700, 300, fresh=True)
+    assert (new["settled"], new["iterations"], new["n_supports"], new["n_supports_seen"]) == (False, 700, 300, 700)
+    assert run(1000, 80, 2)["stopped_on"] in ("envelope settled", "support set settled")
+    still = equilibrium.included(lambda x: (np.ones(2), masks[0]), np.zeros(2), 50, 300)
+    assert still["stopped_on"] == "flow tolerance" and still["iterations"] == 2
+
+
 def test_claimed_support_violations(spark, rows):
     net, links = transit(spark)
     g = gr.gaps(links, net)
