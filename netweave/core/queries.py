@@ -16,7 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = nested.flatten_tied(table(spark, sf_dir, "certificate_sweep"))["round"]
-    return rounds.select("record_id", "face_pos", "round_pos", "phase")
+    return rounds.where("face_pos is not null").select("record_id", "face_pos", "round_pos", "phase")
+
+
+def p2_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = nested.flatten_tied(table(spark, sf_dir, "certificate_sweep"))["face"]
+    return faces.where("face_pos is not null").select("record_id", "face_pos", "phase", "n_tied", "walk_live", "walk_pivots", "walk_rounds", "ladder_rung", "ladder_status", "n_rounds")
+
+
+def p2_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.flatten_tied(table(spark, sf_dir, "certificate_sweep"))["rung"].select("record_id", "face_pos", "rung_pos", "rung", "phase", "status")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +70,8 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_faces": p2_faces,
+    "p2_rungs": p2_rungs,
     "p3_found": p3_found,
     "p3_types": p3_types,
     "p4_found": p4_found,
@@ -90,6 +101,23 @@ found as (
   union all select 'flows_manifest', entry_id, 'directory', case when n = 0 then 'missing' when had then 'deleted' else 'late' end, t from p where not good)
 """
 
+
+def _items_sql(x: str) -> str:
+    """The items of a JSON list, a lone object or a text that holds either, as a list of JSON values."""
+    held = f"(case json_type({x}) when 'VARCHAR' then try_cast({x}->>'$' as json) else {x} end)"
+    return f"(case json_type({held}) when 'ARRAY' then json_extract({held}, '$[*]') when 'OBJECT' then [{held}] else [] end)"
+
+
+#: The faces of ``tied`` with their rounds, as far as queries of other modules need them too.
+TIED_SQL = f"""
+t0 as (select record_id, try_cast(trim(ltrim(tied, chr(65279)), ' ' || chr(9) || chr(10) || chr(13)) as json) j from certificate_sweep),
+t1 as (select record_id, case when json_type(j) = 'VARCHAR' then try_cast(j->>'$' as json) else j end j from t0),
+t2 as (select record_id, j from t1 where json_type(j) = 'OBJECT'),
+faces as (select record_id, 0 face_pos, j face from t2 union all
+  select record_id, face_pos, face from (select record_id, generate_subscripts(l, 1)::int face_pos, unnest(l) face from (select record_id, {_items_sql("(j->'reopened')")} l from t2)) where json_type(face) = 'OBJECT'),
+facer as (select record_id, face_pos, face, {_items_sql("(face->'rounds')")} rl from faces),
+rounds as (select record_id, face_pos, round_pos, r from (select record_id, face_pos, generate_subscripts(rl, 1)::int - 1 round_pos, unnest(rl) r from facer) where json_type(r) = 'OBJECT')"""
+
 #: Columns of corpus_sweep by kind.
 _REAL = ["mu", "residual", "conservation_max", "support_changes_final", "budget_seconds", "seconds", "peak_rss_mb"]
 _WHOLE = ["record_id", "load_id", "sweep_id", "n_nodes", "n_zones", "n_links", "cores", "iterations", "resumed_from", "converged", "unresolved", "support_measured"]
@@ -107,6 +135,11 @@ def _column_sql(c: str) -> str:
 
 
 SQL = {
+    "p2_found": f"with {TIED_SQL} select record_id, face_pos, round_pos, coalesce(r->>'phase', '') as phase from rounds",
+    "p2_faces": f"""with {TIED_SQL} select record_id, face_pos, coalesce(face->>'phase', '') as phase, (face->>'n_tied')::bigint n_tied, (face->>'$.walk.live_initial')::bigint walk_live, (face->>'$.walk.pivots')::bigint walk_pivots,
+(face->>'$.walk.rounds')::bigint walk_rounds, coalesce(face->>'$.ladder.rung', '') ladder_rung, coalesce(face->>'$.ladder.status', '') ladder_status, len(rl)::int n_rounds from facer""",
+    "p2_rungs": f"""with {TIED_SQL}, l as (select record_id, face_pos, {_items_sql("(face->'$.ladder.trail')")} l from faces), e as (select record_id, face_pos, generate_subscripts(l, 1)::int - 1 rung_pos, unnest(l) r from l)
+select record_id, face_pos, rung_pos, coalesce(r->>'rung', '') rung, coalesce(r->>'phase', '') as phase, coalesce(r->>'status', '') status from e where json_type(r) = 'OBJECT'""",
     "p5_profile": "select * from (" + " union all ".join(map(_column_sql, _REAL + _WHOLE + _WORDS + _TIMES)) + ") t(column_name, n_rows, n_null, n_nan, n_violations, lo, hi, lo_text, hi_text, n_distinct)",
     "p3_types": f"""with {_LINES_SQL},
 k as (select file_id, line, unnest(json_keys(line)) field from records),

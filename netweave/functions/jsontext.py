@@ -35,12 +35,14 @@ def _refuse(text: str):
 
 _exact = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_refuse)
 _plain = json.JSONDecoder(parse_constant=_refuse)
+_lenient = json.JSONDecoder()
 
 
-def parse(text: str | None, exact: bool = False):
+def parse(text: str | None, exact: bool = False, constants: bool = False):
     """The JSON value of a text, or None if the text is null, blank or not one complete value.
 
-    The JSON value null also gives None. With exact, numbers come in canonical decimal form.
+    The JSON value null also gives None. With exact, numbers come in canonical decimal form. With constants, the
+    literals NaN, Infinity and -Infinity, which many writers emit, are numbers; without, they make a text no JSON.
     """
     if text is None:
         return None
@@ -48,7 +50,7 @@ def parse(text: str | None, exact: bool = False):
     if not text:
         return None
     try:
-        return (_exact if exact else _plain).decode(text)
+        return (_exact if exact else _lenient if constants else _plain).decode(text)
     except (ValueError, RecursionError):
         return None
 

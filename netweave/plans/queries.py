@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.core.nested import flatten_tied
+from netweave.core.queries import TIED_SQL
 from netweave.operators import flows as fl
 from netweave.operators import graph as gr
 from netweave.operators import records as rc
@@ -315,9 +316,22 @@ _query(
     f"""with {_REC}, s as (select distinct sweep_id, network, mu, resumed_from v from rec where resumed_from is not null), h as (select distinct sweep_id, network, mu, iterations v from rec)
 select s.network, count(*) n_resumed, count_if(h.v is null) n_broken from s left join h using (sweep_id, network, mu, v) group by 1""",
 )(lambda t: rc.resumed(t.corpus_sweep))
-_query("nested_atoms")(lambda t: tied.nested_atoms(flatten_tied(t.certificate_sweep)["weight"]))
-_query("marginals")(lambda t: tied.marginals(cut(flatten_tied(t.certificate_sweep)["weight"], "weights")))
-_query("walk_counters")(lambda t: tied.walk_counters(flatten_tied(t.certificate_sweep)["round"]))
+_ATOMS = f"""{TIED_SQL}, w0 as (select record_id, face_pos, unnest(json_extract(face->'weights', '$[*]')) w from faces where json_type(face->'weights') = 'ARRAY'),
+w as (select record_id, face_pos, (w->>0)::bigint dest, (w->>1)::bigint link, max((w->>2)::double) w from w0 where json_array_length(w) = 3 and (w->>2)::double between 0 and 1 group by all),
+o as (select *, row_number() over v n_admitted, w - coalesce(lead(w) over v, 0) mass from w window v as (partition by record_id, face_pos order by w desc, dest, link)),
+atoms as (select record_id, face_pos, n_admitted, round(mass, 9) mass from (select record_id, face_pos, n_admitted, mass from o union all select record_id, face_pos, 0, 1 - max(w) from w group by all) where mass > 0)"""
+
+_query("nested_atoms", f"with {_ATOMS} select record_id, face_pos, n_admitted, mass from atoms")(lambda t: tied.nested_atoms(flatten_tied(t.certificate_sweep)["weight"]))
+_query(
+    "marginals",
+    f"""with {_ATOMS}, a as (select record_id, face_pos, round(sum(mass), 6) total_mass, round(sum(mass * n_admitted), 6) admitted, max(n_admitted) most_admitted from atoms group by all)
+select *, round(most_admitted - 1 - admitted, 6) ring_slack from a""",
+)(lambda t: tied.marginals(cut(flatten_tied(t.certificate_sweep)["weight"], "weights")))
+_query(
+    "walk_counters",
+    f"""with {TIED_SQL}, r as (select record_id, r->>'phase' as phase, coalesce((r->>'converged')::boolean, false) converged, (r->>'retired')::bigint retired, (r->>'residual')::double residual from rounds)
+select record_id, count(*) n_rounds, count_if(converged) n_converged, coalesce(sum(retired), 0)::bigint n_retired, count(distinct phase) filter (phase <> '') n_phases, max(residual) filter (isfinite(residual)) worst_residual from r group by 1""",
+)(lambda t: tied.walk_counters(flatten_tied(t.certificate_sweep)["round"]))
 _query(
     "sink_roundtrip",
     f"with {_REC} select exhibit, network, count(*) n_records, count(residual) filter (not isnan(residual) and abs(residual) < 'inf'::double) n_residuals, sum(iterations)::bigint total_iterations from rec group by all",

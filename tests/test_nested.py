@@ -34,6 +34,28 @@ def test_children_have_parents(spark):
 
 
 def test_empty_table_and_long_text(spark):
-    assert [t.count() for t in n.flatten_tied(frame(spark, []).limit(0)).values()] == [0, 0, 0]
+    assert [t.count() for t in n.flatten_tied(frame(spark, []).limit(0)).values()] == [0, 0, 0, 0]
     long = json.dumps({"rounds": [{"phase": "p" * 1000} for _ in range(2000)]})
     assert n.flatten_tied(frame(spark, [(1, long), (1, long)]))["round"].count() == 4000
+
+
+def test_constants_are_numbers_and_other_texts_stay_strict(spark, rows):
+    text = '{"walk": {"live_initial": 5, "pivots": NaN}, "rounds": [{"phase": "a", "residual": NaN}, {"residual": -Infinity}, {"residual": 1e400}, {"residual": 2}], "weights": [[1, 2, NaN]]}'
+    t = n.flatten_tied(frame(spark, [(1, text), (2, '{"rounds": [{"residual": NAN}]}'), (3, json.dumps(text))]))
+    assert rows(t["round"].where("record_id <> 3"), "round_pos", "phase", "residual") == [(0, "a", None), (1, "", None), (2, "", None), (3, "", 2.0)]
+    assert rows(t["round"].where("record_id = 3"), "round_pos") == [(0,), (1,), (2,), (3,)]
+    assert rows(t["face"], "record_id", "walk_live", "walk_pivots") == [(1, 5, None), (3, 5, None)]
+    assert t["weight"].where("weight is null").count() == 2
+
+
+def test_ladders_and_faces_opened_again_at_second_hand(spark, rows):
+    deep = {"phase": "c", "rounds": [ROUND]}
+    face = {"ladder": {"rung": "x", "status": "ok", "trail": [{"rung": "p", "phase": "q", "status": "r"}, 7, {"rung": None}]}, "reopened": [{"phase": "b", "reopened": deep}, {"phase": "d"}]}
+    text = json.dumps(face)
+    for _ in range(7):
+        text = json.dumps(text)
+    t = n.flatten_tied(frame(spark, [(9, text)]))
+    assert rows(t["face"], "key", "face_pos", "depth", "opened_by", "phase", "ladder_rung") == [
+        ("9/0", 0, 0, None, "", "x"), ("9/1", 1, 1, "9/0", "b", ""), ("9/1.1", None, 2, "9/1", "c", ""), ("9/2", 2, 1, "9/0", "d", "")]
+    assert rows(t["rung"], "key", "parent_key", "rung_pos", "rung", "phase", "status") == [("9/0/r0", "9/0", 0, "p", "q", "r"), ("9/0/r2", "9/0", 2, "", "", "")]
+    assert rows(t["round"], "key", "parent_key", "face_pos") == [("9/1.1/0", "9/1.1", None)]
