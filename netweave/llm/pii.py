@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm import tagger
+from netweave.llm.pii_spans import dni_letter
 from netweave.session import map_rows, shuffle_width
 
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)"
@@ -27,7 +28,10 @@ EMAIL = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9._+%\-]*[A-Za-z0-9])?{_AT}[A-Za-z0
 PHONE = re.compile(r"(?:\+\s?)?(?:\(\d{1,5}\)|\d)(?:[  ./‐-―\-]?(?:\(\d{1,5}\)|\d))*")
 IDENTITY = re.compile(r"(?<![A-Za-z])(?:(?!ID|NO|NR)[A-Z]{1,2}[ \-]?)?\d(?:[ .\-]?\d)*(?:[ .\-]?[A-Z](?![A-Za-z]))?")
 TITLE = re.compile(r"(?:(?:Mr|Ms|Mrs|Mme|Mlle|Dr|Dra|Prof|Sr|Sra|Srta|St)\b\.?|(?:M|D)\.(?=\s+[^\W\d_]+[ .,]+[^\W\d_])(?!\s+[^\W\d_]+\s*$)|Herrn?\b|Frau\b|don\b|doña\b|Dña\.|г-н\b|г-жа\b|д-р\b)\s*", re.I)
+#: The commonest Chinese family names.
+HAN_FAMILY = set("王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许邓韩冯曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’‐‑][^\W\d_]+)*\.?")
+HAN_STREET = re.compile(r"[㐀-鿿]{1,12}(?:路|街|巷|道|里|弄|胡同|村|坊)\s?\d+(?:\s?弄\s?\d+)?\s?[号號](?:\d+[楼樓室])?|[㐀-鿿]{1,12}(?:路|街|巷|道|里|弄|胡同|村|坊)\s?\d+")
 LABELS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
@@ -45,8 +49,16 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
+def _identity(s: str) -> bool:
+    """6 to 20 digits; points only between groups of three; eight digits and a letter are Spanish, where the letter checks the rest."""
+    digits = "".join(c for c in s if c.isdigit())
+    if not 6 <= len(digits) <= 20 or (set(re.findall(r"\D", s)) == {"."} and not re.fullmatch(r"\d{1,3}(?:\.\d{3})+(?:\.\d{2})?", s)):
+        return False
+    return not (len(digits) == 8 and s[0].isdigit() and s[-1].isalpha()) or s[-1] == dni_letter(digits)
+
+
 def _name(text: str, start: int, end: int) -> tuple[int, int] | None:
-    while start > 0 and (text[start - 1].isalpha() or text[start - 1] in "-'’‑") and text[start].isalpha() and not "㐀" <= text[start - 1] <= "鿿":
+    while start > 0 and (text[start - 1].isalpha() or text[start - 1] in "-'’‑") and text[start].isalpha() and not "㐀" <= text[start - 1] <= "鿿" and not "㐀" <= text[start] <= "鿿":
         start -= 1
     while start < end and not text[start].isalpha():
         start += 1
@@ -61,10 +73,16 @@ def _name(text: str, start: int, end: int) -> tuple[int, int] | None:
             words = [before[1], *words]
     if m := re.search(r"(?:^|\W)(von|van) $", text[max(0, start - 6) : start]):
         start -= len(m[1]) + 1
+    if re.fullmatch(r"[㐀-鿿]{2,4}", text[start:end]):
+        return (start, end) if text[start] in HAN_FAMILY else None
     written = [w for w in words if w[0].isupper()]
     return (start, end) if len(written) >= 2 and any(len(w.rstrip(".")) > 1 for w in written) else None
 
 
+#: Digits in groups of three, two and four are a social security number, never a telephone's.
+SOCIAL = re.compile(r"\d{3}([ .\-])\d{2}\1\d{4}")
+
+
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The exact item of a span the tagger found, or None if it can't be one."""
     if kind == "email":
@@ -77,20 +95,26 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         return span if span and 7 <= _digits(text[slice(*span)]) <= 16 else None
     if kind == "id_number":
         span = _meets(IDENTITY, text, start, end, 24)
-        return span if span and 6 <= _digits(text[slice(*span)]) <= 20 else None
+        return span if span and _identity(text[slice(*span)]) else None
     if kind == "name":
         return _name(text, start, end)
     han = lambda c: "㐀" <= c <= "鿿"
+    if any(map(han, text[start:end])):
+        # between a Chinese street and its number stands the kind of street
+        span = _meets(HAN_STREET, text, start, end, 2)
+        return (max(start, span[0]), span[1]) if span else None
     while start > 0 and text[start - 1].isalnum() and text[start].isalnum() and not han(text[start - 1]):
         start -= 1
     while start < end and not text[start].isalnum():
         start += 1
+    if text[max(0, start - 3) : start].rstrip().endswith("C/"):
+        start = text.rindex("C/", 0, start)
     return (start, end) if any(c.isdigit() for c in text[start:end]) and any(c.isalpha() for c in text[start:end]) else None
 
 
 def items(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The checked spans of one text, in order, none overlapping another."""
-    found = {(*span, kind) for s, e, kind in spans if (span := check(text, s, e, kind))}
+    found = {(*span, "id_number" if kind == "phone" and SOCIAL.fullmatch(text[slice(*span)]) else kind) for s, e, kind in spans if (span := check(text, s, e, kind))}
     out: list[tuple[int, int, str]] = []
     for item in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or item[0] >= out[-1][1]:
@@ -110,9 +134,10 @@ def find(documents: DataFrame, model: tagger.Model | None = None, text: str = "t
     weights = spark.sparkContext.broadcast((model or fitted()).p)
 
     def run(ids: list, texts: list) -> Iterator[tuple]:
-        tags = tagger.tag_texts(tagger.Model(weights.value), texts)
-        for i, t, g in zip(ids, texts, tags):
-            yield i, t, [{"kind": k, "start_at": s, "end_at": e} for s, e, k in items(t, tagger.read_spans(g))]
+        once = list(dict.fromkeys(texts))  # equal texts are decoded once
+        tags = tagger.tag_texts(tagger.Model(weights.value), once)
+        held = {t: [{"kind": k, "start_at": s, "end_at": e} for s, e, k in items(t, tagger.read_spans(g))] for t, g in zip(once, tags)}
+        yield from ((i, t, held[t]) for i, t in zip(ids, texts))
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).where(F.length(F.trim("text")) > 0)
     schema = "doc_id long, text string, items array<struct<kind: string, start_at: int, end_at: int>>"

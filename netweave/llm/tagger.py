@@ -1,7 +1,7 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Characters map to a fixed number of codes; each direction's LSTM reads them, a linear layer scores the tags of every
-character, and a CRF weighs tag sequences. Training is plain BPTT with Adam on labelled spans of ``Spans``; the number
+character, and a CRF weighs tag sequences. Training is plain BPTT with Adam on labelled texts of ``Spans``; the number
 of texts, epochs and the seed are parameters, and nothing depends on the corpus.
 
 Decoding cuts a text into overlapping windows, decodes each, and takes every character's tag from the window in whose
@@ -17,10 +17,10 @@ import numpy as np
 from netweave.llm.pii_spans import KINDS, Spans
 
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-CODES, EMBED, HIDDEN = 420, 20, 40
-WINDOW, OVERLAP = 192, 64
+CODES, EMBED, HIDDEN = 420, 24, 48
+WINDOW, OVERLAP = 256, 64
 #: The bound on training: labelled texts and passes over them.
-TEXTS, EPOCHS, BATCH = 9000, 8, 32
+TEXTS, EPOCHS, BATCH, RATE = 26_000, 4, 40, 0.012
 
 
 def codes(text: str) -> np.ndarray:
@@ -51,55 +51,61 @@ def labels(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 @dataclass
 class Model:
+    """Weights; W, U and b have leading axes for the gates (in, forget, out, new) and the directions (forward, backward).
+
+    So every gate is a contiguous block, and one product serves all.
+    """
+
     p: dict[str, np.ndarray]
 
     @staticmethod
     def new(seed: int) -> Model:
         r = np.random.default_rng(seed)
-        p = {"E": r.normal(0, 0.1, (CODES, EMBED))}
-        for d in "fb":
-            p["W" + d] = r.normal(0, EMBED**-0.5, (EMBED, 4 * HIDDEN))
-            p["U" + d] = r.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN))
-            p["b" + d] = np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)
-        p["V"], p["c"], p["T"] = r.normal(0, (2 * HIDDEN) ** -0.5, (2 * HIDDEN, len(TAGS))), np.zeros(len(TAGS)), r.normal(0, 0.1, (len(TAGS), len(TAGS)))
-        return Model({k: v.astype(np.float32) for k, v in p.items()})
+        k = len(TAGS)
+        p = {
+            "E": r.normal(0, 0.1, (CODES, EMBED)), "W": r.normal(0, EMBED**-0.5, (4, 2, EMBED, HIDDEN)), "U": r.normal(0, HIDDEN**-0.5, (4, 2, HIDDEN, HIDDEN)),
+            "b": np.array([0.0, 1.0, 0.0, 0.0])[:, None, None] + np.zeros((4, 2, HIDDEN)), "V": r.normal(0, (2 * HIDDEN) ** -0.5, (2 * HIDDEN, k)), "c": np.zeros(k), "T": r.normal(0, 0.1, (k, k)),
+        }
+        return Model({n: v.astype(np.float32) for n, v in p.items()})
+
+    def _hidden(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states (T, 2, B, H); x (T, 2, B) holds each direction's codes in reading order.
 
-    def _direction(self, x: np.ndarray, d: str, keep: bool):
-        """Hidden states (T, B, H) of one direction; x is (T, B) already in reading order."""
-        p, (steps, batch) = self.p, x.shape
-        table = self.p["E"] @ p["W" + d] + p["b" + d]
-        h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-        out, kept, u = np.empty((steps, batch, HIDDEN), np.float32), [], p["U" + d]
-        n = 3 * HIDDEN
+        The gates i, f, o are sigmoids, taken as tanh of half their input, so that one tanh serves all four.
+        """
+        steps, _, batch = x.shape
+        half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None, None]
+        table = ((self.p["E"] @ self.p["W"] + self.p["b"][:, :, None]) * half).reshape(4, 2 * CODES, HIDDEN)
+        u, rows = self.p["U"] * half, x + np.array([0, CODES])[None, :, None]
+        h = c = np.zeros((2, batch, HIDDEN), np.float32)
+        out, z, read = np.empty((steps, 2, batch, HIDDEN), np.float32), np.empty((4, 2, batch, HIDDEN), np.float32), np.empty((4, 2, batch, HIDDEN), np.float32)
         for t in range(steps):
-            z = table[x[t]] + h @ u
-            z[:, :n] = _sigmoid(z[:, :n])
-            z[:, n:] = np.tanh(z[:, n:])
-            i, f, o, g = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-            before = c
-            c = f * c + i * g
+            if keep is not None:
+                z = np.empty_like(z)
+            np.matmul(h, u, out=z)
+            np.take(table, rows[t], axis=1, out=read, mode="clip")
+            z += read
+            np.tanh(z, out=z)
+            z[:3] *= 0.5
+            z[:3] += 0.5
+            before, c = c, z[1] * c
+            c += z[0] * z[3]
             e = np.tanh(c)
-            if keep:
-                kept.append((z, before, e, h))
-            h = o * e
-            out[t] = h
-        return out, kept
+            if keep is not None:
+                keep.append((z, before, e, h))
+            h = np.multiply(z[2], e, out=out[t])
+        return out
 
-    def scores(self, x: np.ndarray, sizes: np.ndarray, keep: bool = False):
-        """Tag scores (T, B, K) of padded codes x (T, B)."""
-        steps, batch = x.shape
-        turn = np.where(np.arange(steps)[:, None] < sizes, sizes - 1 - np.arange(steps)[:, None], np.arange(steps)[:, None])
-        cols = np.arange(batch)
-        hf, kf = self._direction(x, "f", keep)
-        hb, kb = self._direction(x[turn, cols], "b", keep)
-        both = np.concatenate([hf, hb[turn, cols]], axis=2)
-        return both @ self.p["V"] + self.p["c"], (both, kf, kb, turn, cols)
+    def scores(self, x: np.ndarray, sizes: np.ndarray, keep: list | None = None):
+        """Tag scores (T, B, K) of padded codes x (T, B), the hidden states, both ways' codes, and the place of each step read backward."""
+        at = np.arange(len(x))[:, None]
+        turn, cols = np.where(at < sizes, sizes - 1 - at, at), np.arange(x.shape[1])
+        ways = np.stack([x, x[turn, cols]], axis=1)
+        h = self._hidden(ways, keep)
+        both = np.concatenate([h[:, 0], h[:, 1][turn, cols]], axis=2)
+        return both @ self.p["V"] + self.p["c"], both, ways, (turn, cols)
 
     def decode(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of each coded text, by Viterbi."""
@@ -107,25 +113,20 @@ class Model:
         x = np.zeros((sizes.max(), len(texts)), np.int64)
         for b, t in enumerate(texts):
             x[: len(t), b] = t
-        s, _ = self.scores(x, sizes)
-        trans, v = self.p["T"].T[None], s[0]
-        back = np.zeros(s.shape, np.int8)
-        final = np.zeros((len(texts), len(TAGS)), np.float32)
-        final[sizes == 1] = v[sizes == 1]
+        # tags before texts, so that the maximum over tags runs along contiguous rows of texts
+        s = np.ascontiguousarray(self.scores(x, sizes)[0].transpose(0, 2, 1))
+        trans, best = self.p["T"][:, :, None], np.empty_like(s)
+        best[0] = s[0]
         for t in range(1, len(x)):
-            w = v[:, None, :] + trans
-            back[t] = w.argmax(2)
-            v = w.max(2) + s[t]
-            ended = sizes == t + 1
-            if ended.any():
-                final[ended] = v[ended]
-        tag = final.argmax(1)
-        out = np.zeros(x.shape, np.int8)
-        cols = np.arange(len(texts))
+            np.max(best[t - 1][:, None] + trans, axis=0, out=best[t])
+            best[t] += s[t]
+        out, cols = np.zeros(x.shape, np.int8), np.arange(len(texts))
+        tag = best[sizes - 1, :, cols].argmax(1)
         for t in range(len(x) - 1, -1, -1):
             inside = t < sizes
-            out[t, inside] = tag[inside]
-            tag = np.where(inside, back[t, cols, tag], tag)
+            out[t] = np.where(inside, tag, 0)
+            if t:
+                tag = np.where(inside, (best[t - 1] + self.p["T"][:, tag]).argmax(0), tag)
         return [out[:n, b] for b, n in enumerate(sizes)]
 
     def gradient(self, texts: list[np.ndarray], tags: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
@@ -135,71 +136,74 @@ class Model:
         x, y = np.zeros((steps, batch), np.int64), np.zeros((steps, batch), np.int64)
         for b, (t, g) in enumerate(zip(texts, tags)):
             x[: len(t), b], y[: len(t), b] = t, g
-        s, (both, kf, kb, turn, cols) = self.scores(x, sizes, keep=True)
+        kept: list = []
+        s, both, ways, (turn, cols) = self.scores(x, sizes, kept)
         inside = np.arange(steps)[:, None] < sizes
-        trans = self.p["T"].astype(np.float64)
-        # forward and backward sums; beyond a text's end alpha stays and beta is 0
-        et, alpha, beta = np.exp(trans), np.zeros((steps, batch, k)), np.zeros((steps, batch, k))
-        alpha[0] = s[0]
-        for t in range(1, steps):
-            m = alpha[t - 1].max(1, keepdims=True)
-            alpha[t] = np.where(inside[t][:, None], np.log(np.exp(alpha[t - 1] - m) @ et) + m + s[t], alpha[t - 1])
-        m = alpha[-1].max(1, keepdims=True)
-        total = (np.log(np.exp(alpha[-1] - m).sum(1, keepdims=True)) + m)[:, 0]
-        ds, dt = np.zeros((steps, batch, k)), np.zeros((k, k))
-        for t in range(steps - 1, -1, -1):
-            ds[t] = np.exp(alpha[t] + beta[t] - total[:, None]) * inside[t][:, None]
-            if t:
-                q = s[t] + beta[t]
-                m = q.max(1, keepdims=True)
-                eq = np.exp(q - m)
-                beta[t - 1] = np.where(inside[t][:, None], np.log(eq @ et.T) + m, 0.0)
-                ma = alpha[t - 1].max(1, keepdims=True)
-                dt += et * ((np.exp(alpha[t - 1] - ma) * np.exp(ma + m - total[:, None]) * inside[t][:, None]).T @ eq)
-        rows = np.arange(steps)[:, None]
-        gold = (s[rows, cols, y] * inside).sum()
+        trans = self.p["T"]
+        # forward and backward sums, scaled to one at every step; beyond a text's end nothing changes
+        top = s.max(2, keepdims=True)
+        es, et = np.exp(s - top), np.exp(trans)
+        alpha, beta, scale = np.empty_like(es), np.ones_like(es), np.ones((steps, batch, 1), np.float32)
+        for t in range(steps):
+            a = es[t] if t == 0 else (alpha[t - 1] @ et) * es[t]
+            scale[t] = np.where(inside[t][:, None], a.sum(1, keepdims=True), 1.0)
+            alpha[t] = np.where(inside[t][:, None], a / scale[t], alpha[t - 1])
+        reach = np.empty_like(es)
+        for t in range(steps - 1, 0, -1):
+            reach[t] = np.where(inside[t][:, None], es[t] * beta[t] / scale[t], 0.0)
+            beta[t - 1] = np.where(inside[t][:, None], reach[t] @ et.T, 1.0)
+        total = float((np.log(scale[..., 0].astype(np.float64)) + top[..., 0])[inside].sum())
+        ds = alpha * beta * inside[..., None]
+        dt = et * (alpha[:-1].reshape(-1, k).T @ reach[1:].reshape(-1, k))
+        rows, pairs = np.arange(steps)[:, None], inside[1:]
+        gold = float((s[rows, cols, y] * inside).sum() + (trans[y[:-1], y[1:]] * pairs).sum())
         ds[rows, cols, y] -= inside
-        pairs = inside[1:]
-        gold += (trans[y[:-1], y[1:]] * pairs).sum()
         np.subtract.at(dt, (y[:-1][pairs], y[1:][pairs]), 1.0)
-        ds = ds.astype(np.float32) / batch
-        g = {"T": (dt / batch).astype(np.float32), "V": both.reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, k), "c": ds.sum((0, 1))}
+        ds /= batch
+        g = {"T": dt / batch, "V": both.reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, k), "c": ds.sum((0, 1))}
         dh = ds @ self.p["V"].T
-        g["E"] = np.zeros_like(self.p["E"])
-        self._back(x, dh[:, :, :HIDDEN], kf, "f", g)
-        self._back(x[turn, cols], dh[:, :, HIDDEN:][turn, cols], kb, "b", g)
-        return float((total.sum() - gold) / batch), g
+        self._back(ways, np.stack([dh[..., :HIDDEN], dh[..., HIDDEN:][turn, cols]], axis=1), kept, g)
+        return (total - gold) / batch, g
 
-    def _back(self, x: np.ndarray, dh: np.ndarray, kept: list, d: str, g: dict[str, np.ndarray]) -> None:
-        p, (steps, batch) = self.p, x.shape
-        u, dz_all = p["U" + d], np.empty((steps, batch, 4 * HIDDEN), np.float32)
-        next_h, next_c, du = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32), np.zeros_like(u)
+    def _back(self, x: np.ndarray, dh: np.ndarray, kept: list, g: dict[str, np.ndarray]) -> None:
+        p, (steps, _, batch) = self.p, x.shape
+        ut, dz_all = p["U"].transpose(0, 1, 3, 2).copy(), np.empty((steps, 4, 2, batch, HIDDEN), np.float32)
+        next_h, next_c = np.zeros((2, batch, HIDDEN), np.float32), np.zeros((2, batch, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, before, e, h = kept[t]
-            i, f, o, c_ = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-            dht = dh[t] + next_h
-            dc = next_c + dht * o * (1 - e * e)
-            dz = dz_all[t]
-            dz[:, :HIDDEN] = dc * c_ * i * (1 - i)
-            dz[:, HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
-            dz[:, 2 * HIDDEN : 3 * HIDDEN] = dht * e * o * (1 - o)
-            dz[:, 3 * HIDDEN :] = dc * i * (1 - c_ * c_)
-            du += h.T @ dz
-            next_h, next_c = dz @ u.T, dc * f
-        flat, ids = dz_all.reshape(-1, 4 * HIDDEN), x.reshape(-1)
-        g["U" + d], g["b" + d] = du, flat.sum(0)
-        order = np.argsort(ids, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
-        summed, used = np.add.reduceat(flat[order], cut), ids[order][cut]
-        g["W" + d] = p["E"][used].T @ summed
-        g["E"][used] += summed @ p["W" + d].T
+            z, before, e, _ = kept[t]
+            dht, dz = dh[t] + next_h, dz_all[t]
+            dc = dht * z[2]
+            dc *= 1 - e * e
+            dc += next_c
+            np.multiply(dc, z[3], out=dz[0])
+            np.multiply(dc, before, out=dz[1])
+            np.multiply(dht, e, out=dz[2])
+            dz[:3] *= z[:3]
+            dz[:3] *= 1 - z[:3]
+            np.multiply(dc, z[0], out=dz[3])
+            dz[3] *= 1 - z[3] * z[3]
+            next_h, next_c = (dz @ ut).sum(0), dc * z[1]
+        h = np.stack([k[3] for k in kept])
+        g["E"] = np.zeros_like(p["E"])
+        g["U"], g["W"], g["b"] = np.empty_like(p["U"]), np.empty_like(p["W"]), np.empty_like(p["b"])
+        for d in range(2):
+            hidden, ids = h[:, d].reshape(-1, HIDDEN), x[:, d].reshape(-1)
+            order = np.argsort(ids, kind="stable")
+            cut = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
+            used = ids[order][cut]
+            for k in range(4):
+                flat = dz_all[:, k, d].reshape(-1, HIDDEN)
+                g["U"][k, d], g["b"][k, d] = hidden.T @ flat, flat.sum(0)
+                summed = np.add.reduceat(flat[order], cut)
+                g["W"][k, d] = p["E"][used].T @ summed
+                g["E"][used] += summed @ p["W"][k, d].T
 
 
 def train(texts: int = TEXTS, epochs: int = EPOCHS, seed: int = 7, log=None) -> Model:
-    """Fit the tagger on ``texts`` generated labelled texts; deterministic for a seed."""
+    """Fit the tagger on ``texts`` generated labelled texts, whole; deterministic for a seed."""
     maker, r = Spans(seed), np.random.default_rng(seed)
-    data = [maker.text() for _ in range(texts)]
-    data = [(codes(t)[:400], labels(len(t), s)[:400]) for t, s in data]
+    made = [maker.text() for _ in range(texts)]
+    data = [(codes(t), labels(len(t), s)) for t, s in made if t]
     model = Model.new(seed)
     first, second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     step, steps = 0, epochs * (-(-len(data) // BATCH))
@@ -213,7 +217,7 @@ def train(texts: int = TEXTS, epochs: int = EPOCHS, seed: int = 7, log=None) ->
             losses.append(loss)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             step += 1
-            rate = 0.012 * min(1.0, step / 30) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5
+            rate = RATE * min(1.0, step / 50) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5
             for k, v in g.items():
                 v *= min(1.0, 5.0 / (norm + 1e-9))
                 first[k] += 0.1 * (v - first[k])
@@ -256,12 +260,8 @@ def tag_texts(model: Model, texts: list[str], batch: int = 256) -> list[np.ndarr
 
 def read_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
     """Spans of equal kind; a lone I- begins a span too."""
-    out, start, kind = [], 0, 0
-    for i, t in enumerate([*tags.tolist(), 0]):
-        of = (t + 1) // 2
-        if kind and (of != kind or t % 2 == 1):
-            out.append((start, i, KINDS[kind - 1]))
-            kind = 0
-        if of and not kind:
-            start, kind = i, of
-    return out
+    kind = (tags.astype(np.int64) + 1) // 2
+    fresh = (tags % 2 == 1) | np.append(True, kind[1:] != kind[:-1])[: len(kind)]
+    starts = np.flatnonzero(fresh)
+    ends = np.append(starts[1:], len(tags))
+    return [(int(s), int(e), KINDS[k - 1]) for s, e, k in zip(starts, ends, kind[starts].tolist()) if k]

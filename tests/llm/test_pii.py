@@ -1,14 +1,65 @@
+import re
+
 import numpy as np
 import pytest
 
 from netweave.llm import pii, tagger
-from netweave.llm.pii_spans import CORPUS_LIKE, EVALUATED, TRAINED, Spans
+from netweave.llm.pii_spans import Spans
+from netweave.llm.pii_words import HELD, TRAINED
+
+CHANGED = ["given", "family", "given_ru", "family_ru", "surname_zh", "given_zh", "heads", "tails", "towns", "domains", "street_words", "phrases", "plain"]
+#: Sentences by hand, in no wording of the generator; items stand as [kind|text].
+BY_HAND = """
+Gestern Abend stand [name|Wolfram Eichenlaub] wieder vor unserer Garage und wollte sein Fahrrad zurück.
+Frau [name|Gudrun Pfeilschmidt] bekommt ihre Medikamente künftig in die [address|Tulpenstraße 12] gebracht.
+Wenn niemand öffnet, erreichst du die Hausmeisterin unter [phone|0341 5562091].
+Das Paket liegt noch bei der Poststelle am Neuen Platz, fragt dort nach Paket 4711.
+Could somebody tell [name|Rupert Hollingsworth] that his umbrella is still hanging in our hallway?
+The plumber's van is always parked outside [address|7 Pinfold Crescent], which annoys everybody.
+We changed trains at Central Station and walked the rest of the way to New York City.
+My accountant insists that [id_number|457-55-5462] is typed without spaces.
+Photos of the wedding can be ordered from [email|melinda.crowther@studio.example] until Friday.
+If the alarm goes off again, phone [phone|(303) 555-0188] rather than the police.
+J'ai croisé [name|Solange Peyrefitte] au marché, elle cherche toujours un appartement.
+Le serrurier habite [address|18 rue des Peupliers] et travaille aussi le dimanche.
+Pour annuler la visite, un simple message à [email|accueil.nord@musee.example] suffit.
+Cuando llegó [name|Ramiro Echeverría] ya no quedaban sillas libres en la terraza.
+La modista tiene su taller en la [address|Calle Esmeralda, 22], encima de la panadería.
+El gato se llama Canela y duerme sobre el radiador del comedor.
+Соседка сказала, что [name|Валерий Пономарёв] уехал к сестре на всё лето.
+Мастерская переехала, теперь она на [address|ул. Цветочная, 14] рядом с аптекой.
+Если лифт застрянет, звоните диспетчеру [phone|+7 (812) 640-22-17].
+快递员把箱子放在[address|梧桐路 88 号]门口就走了。
+有问题可以写信给 [email|lin.service@shop.example]，一般当天答复。
+The Great Northern Railway ran its last steam engine in 1967.
+Version 4.18.2 was released on 2024-11-05 and fixes 318 defects.
+Meine Schwester arbeitet im Hotel Goldener Hirsch und mag den Winter.
+""".strip().split("\n")
+
+
+def marked(line):
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\[(\w+)\|([^\]]*)\]", line):
+        text += line[at : m.start()]
+        spans.append((len(text), len(text) + len(m[2]), m[1]))
+        text, at = text + m[2], m.end()
+    return text + line[at:], spans
+
+
+def rates(model, made):
+    """(precision, recall) over texts with their spans, by start and kind."""
+    hit = said = true = 0
+    for (text, spans), tags in zip(made, tagger.tag_texts(model, [t for t, _ in made])):
+        got = {(s, k) for s, _, k in pii.items(text, tagger.read_spans(tags))}
+        want = {(s, k) for s, _, k in spans}
+        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
+    return hit / said, hit / true
 
 
 @pytest.fixture(scope="module")
 def model():
-    """A small fit; the production fit takes longer and finds more."""
-    return tagger.train(texts=5000, epochs=7, seed=7)
+    """A smaller fit; the production fit takes longer and finds more."""
+    return tagger.train(texts=14_000, epochs=3, seed=7)
 
 
 def test_gradient_is_the_slope_of_the_loss():
@@ -40,33 +91,40 @@ def test_viterbi_is_the_best_path():
 
 
 def test_held_out_accuracy(model):
+    """Items in runs of made-up words are often ambiguous, numbers above all."""
     maker = Spans(1234)
-    made = [maker.text() for _ in range(500)]
-    hit = said = true = 0
-    for (text, spans), tags in zip(made, tagger.tag_texts(model, [t for t, _ in made])):
-        got = {(s, k) for s, _, k in pii.items(text, tagger.read_spans(tags))}
-        want = {(s, k) for s, _, k in spans}
-        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
-    assert hit / said > 0.95 and hit / true > 0.93
+    precision, recall = rates(model, [maker.text() for _ in range(500)])
+    assert precision > 0.88 and recall > 0.83
 
 
-def test_evaluation_lists_are_disjoint_from_the_training_ones():
-    for k, held in EVALUATED.items():
-        flat = lambda v: {w for x in v.values() for w in x} if isinstance(v, dict) else set(v)
-        assert not flat(held) & flat(TRAINED[k]), k
-    assert all(len(TRAINED[k]) > len(CORPUS_LIKE[k]) for k in ("given", "family", "given_ru", "family_ru", "domains"))
+def test_held_lists_are_disjoint_from_the_trained_ones():
+    flat = lambda v: {v} if isinstance(v, str) else {y for x in (v.values() if isinstance(v, dict) else v) for y in flat(x)}
+    for k in CHANGED:
+        assert not {w for w in flat(HELD[k]) & flat(TRAINED[k]) if w.strip()}, k
 
 
-def test_accuracy_on_unknown_names_streets_and_carriers(model):
-    """Fitted to the corpus-like lists alone, the same small fit had 0.74 precision and 0.64 recall here."""
-    maker = Spans(99, EVALUATED, False)
-    made = [maker.text() for _ in range(500)]
-    hit = said = true = 0
-    for (text, spans), tags in zip(made, tagger.tag_texts(model, [t for t, _ in made])):
-        got = {(s, k) for s, _, k in pii.items(text, tagger.read_spans(tags))}
-        want = {(s, k) for s, _, k in spans}
-        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
-    assert hit / said > 0.78 and hit / true > 0.7
+def test_lists_do_not_follow_the_corpus(spark):
+    """Names, domains and streets of the lists don't occur in the corpus, nor does the wording around the slots."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "tgt_text").collect()
+    text = "\n".join(x for r in docs for x in r if x).lower()
+    words = set(re.findall(r"\w+", text))
+    flat = lambda v: [v] if isinstance(v, str) else [y for x in (v.values() if isinstance(v, dict) else v) for y in flat(x)]
+    for lists in (TRAINED, HELD):
+        assert not [w for k in ("given", "family", "given_ru", "family_ru") for w in lists[k] if w.lower() in words]
+        assert not [p for p in flat(lists["phrases"]) if len(p.strip()) > 7 and p.strip().lower() in text]
+        literal = [max(re.split(r"\{.\}", p), key=len).strip() for p in flat(lists["plain"])]
+        assert not [p for p in literal if len(p) > 5 and p.lower() in text]
+
+
+def test_accuracy_on_unknown_names_streets_and_wording(model):
+    maker = Spans(99, HELD, False)
+    precision, recall = rates(model, [maker.text() for _ in range(500)])
+    assert precision > 0.86 and recall > 0.8
+
+
+def test_accuracy_on_sentences_by_hand(model):
+    precision, recall = rates(model, [marked(line) for line in BY_HAND])
+    assert precision > 0.75 and recall > 0.75
 
 
 def test_windows_cover_and_agree(model):
