@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from netweave.llm import tagger
 from netweave.llm.pii_spans import dni_letter
+from netweave.llm.pii_words import TRAINED
 from netweave.session import map_rows, shuffle_width
 
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?)"
@@ -28,6 +29,11 @@ EMAIL = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9._+%\-]*[A-Za-z0-9])?{_AT}[A-Za-z0
 PHONE = re.compile(r"(?:\+\s?)?(?:\(\d{1,5}\)|\d)(?:[  ./‐-―\-]?(?:\(\d{1,5}\)|\d))*")
 IDENTITY = re.compile(r"(?<![A-Za-z])(?:(?!ID|NO|NR)[A-Z]{1,2}[ \-]?)?\d(?:[ .\-]?\d)*(?:[ .\-]?[A-Z](?![A-Za-z]))?")
 TITLE = re.compile(r"(?:(?:Mr|Ms|Mrs|Mme|Mlle|Dr|Dra|Prof|Sr|Sra|Srta|St)\b\.?|(?:M|D)\.(?=\s+[^\W\d_]+[ .,]+[^\W\d_])(?!\s+[^\W\d_]+\s*$)|Herrn?\b|Frau\b|don\b|doña\b|Dña\.|г-н\b|г-жа\b|д-р\b)\s*", re.I)
+#: Words that begin streets and places, by which a street without its kind is completed and a name refused.
+STREET_KINDS = {w.lower().rstrip(".") for lang in ("fr", "es", "ru") for w in TRAINED["street_kinds"][lang]}
+NO_NAME = STREET_KINDS | {w.lower() for words in TRAINED["things"].values() for w in words}
+#: How a street of one word ends, before its number.
+ONE_WORD = re.compile(r"[^\W\d_]*(?:" + "|".join(map(re.escape, TRAINED["street_kinds"]["de"])) + r"|strasse)\s+\d+\s?[a-z]?(?:-\d+)?", re.I)
 #: The commonest Chinese family names.
 HAN_FAMILY = set("王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许邓韩冯曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’‐‑][^\W\d_]+)*\.?")
@@ -76,6 +82,10 @@ def _name(text: str, start: int, end: int) -> tuple[int, int] | None:
     if re.fullmatch(r"[㐀-鿿]{2,4}", text[start:end]):
         return (start, end) if text[start] in HAN_FAMILY else None
     written = [w for w in words if w[0].isupper()]
+    # one name is written in one script, and doesn't begin with a kind of street or place
+    letters = [c for w in words for c in w if c.isalpha()]
+    if len({"Ѐ" <= c <= "ӿ" for c in letters}) > 1 or (words and words[0].rstrip(".").lower() in NO_NAME):
+        return None
     return (start, end) if len(written) >= 2 and any(len(w.rstrip(".")) > 1 for w in written) else None
 
 
@@ -107,8 +117,11 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         start -= 1
     while start < end and not text[start].isalnum():
         start += 1
-    if text[max(0, start - 3) : start].rstrip().endswith("C/"):
-        start = text.rindex("C/", 0, start)
+    kind_before = re.search(r"(?:^|[\s(,:])((?:[^\W\d_]+\.?|[Cc]/|Pº))\s?$", text[max(0, start - 16) : start])
+    if kind_before and kind_before[1].lower().rstrip(".") in STREET_KINDS and not text[start].isdigit():
+        start = text.rindex(kind_before[1], 0, start)
+    if re.fullmatch(r"[^\W\d_]+\.?\s\d+\W*\w?\W*", text[start:end]) and not ONE_WORD.match(text, start, end):
+        return None
     return (start, end) if any(c.isdigit() for c in text[start:end]) and any(c.isalpha() for c in text[start:end]) else None
 
 

@@ -31,10 +31,10 @@ WEEKDAYS = {
     "es": "lunes martes miércoles jueves viernes sábado domingo".split(), "ru": "понедельник вторник среда четверг пятница суббота воскресенье".split(), "zh": "星期一 星期二 星期三 星期四 星期五 星期六 星期日".split(),
 }
 PHONES = {
-    "en": ["+1~###~###~####", "###~###~####", "1~###~###~####", "(###) ###-####", "###-###-#### ext. ##", "###-###-#### x###", "0## #### ####", "0#### ######", "0#### ### ###", "+44 #### ######", "+44 (0)## #### ####", "+61 # #### ####", "###~####~###"],
+    "en": ["+1~###~###~####", "###~###~####", "1~###~###~####", "(###) ###-####", "###-###-#### ext. ##", "###-###-#### x###", "0## #### ####", "0#### ######", "0#### ### ###", "+44 #### ######", "+44 (0)## #### ####", "+61 # #### ####", "###.###.####", "###.###.####", "####~####~###"],
     "de": ["+49~##~#####~###", "+49~###~#######", "0##~######", "0### #######", "(0###) ####~###", "01##/#######", "+49 (0)## ##### ###", "0049~##~######", "0## / ## ## ##", "+43~#~#######", "+41 ## ### ## ##"],
-    "fr": ["+33~#~##~##~##~##", "0#~##~##~##~##", "+33 (0)# ## ## ## ##", "0033~#~##~##~##~##", "0#########", "+32 # ### ## ##"],
-    "es": ["+34~###~###~###", "0034~###~######", "###~##~##~##", "###~###~###", "9########", "+34 #########", "+52 ## #### ####"],
+    "fr": ["+33~#~##~##~##~##", "0#~##~##~##~##", "+33 (0)# ## ## ## ##", "0033~#~##~##~##~##", "0#########", "+32 # ### ## ##", "0#.##.##.##.##", "0# ## ## ## ##"],
+    "es": ["+34~###~###~###", "0034~###~######", "###~##~##~##", "###~###~###", "9########", "+34 #########", "+52 ## #### ####", "###.###.###", "6## ## ## ##"],
     "ru": ["+7 (###) ###-##-##", "8~###~###~##~##", "+7##########", "8 (###) ###-##-##", "8##########", "(###) ###-##-##", "+375 ## ###-##-##"],
     "zh": ["+86~##~####~####", "(0##) ####-####", "0##-########", "1##########", "1##~####~####", "+86 1##########", "0###-#######", "0##~####~####"],
 }
@@ -174,12 +174,12 @@ class Spans:
     def thing(self, lang: str) -> str:
         """Capitalised words that are no person."""
         r, thing, adjective = self.r, self.r.choice(self.w["things"][lang]), self.r.choice(self.w["adjectives"][lang])
-        own = r.choice([self.town(), self._given(lang == "ru"), self._family(lang == "ru")])
+        own = r.choice([self.town(), self.town(), self.town(), self._given(lang == "ru"), self._family(lang == "ru")])
         if lang == "zh":
             return r.choice([f"{own} {thing}", f"{own}{thing}", adjective + thing])
         if self._chance(0.25):
             noun = r.choice([*self.w["nouns"][lang], thing])
-            return f"{noun[0].upper() + noun[1:]} {r.choice(self.w['links'][lang])}{self.town()}"
+            return f"{r.choice([noun[0].upper() + noun[1:], self._syllables(lang == 'ru')])} {r.choice(self.w['links'][lang])}{self.town()}"
         first = [f"{own} {thing}", f"{adjective} {thing}", f"{thing} {own}", f"{adjective} {self.town()}", f"{self.town()} {thing}"]
         if lang == "de":
             first += [f"{own}-{thing}", f"{thing} {self.town()}", f"{r.choice(self.w['nouns']['de'])}{thing.lower()} {self.town()}"]
@@ -202,6 +202,9 @@ class Spans:
         r, out = self.r, []
         if n > 1 and self._chance(0.4):
             start = r.choice(self.w["starts"][lang])
+            if lang == "de" and self._chance(0.4):
+                stem = r.choice(self.w["stems"]) if self._chance(0.6) else self._syllables(False).rstrip("aeiouy")
+                start = stem.capitalize() + r.choice(["er", "er", "e", "es", "en", "em", "liche", "ige", "ischer"])
             out.append(start + ("" if lang == "zh" else " ") + r.choice([r.choice(self.w["nouns"][lang]), r.choice(self.w["nouns"][lang]), r.choice(WEEKDAYS[lang]), self.town()]))
         elif n > 1 and self._chance(0.15):
             out.append(self._number(lang))
@@ -265,7 +268,7 @@ class Spans:
                 out += form[at:cut] + self._plain(form[cut + 1], lang)
                 at = cut + 3
             return out + form[at:], spans
-        slot, how = r.choice("NNNNNAAAPPPEEIII"), r.random()
+        slot, how = r.choice("NNNNNNNNNAAAPPPEEIII"), r.random()
         if how < 0.55:
             before, after = self.w["phrases"][lang][slot]
             out = r.choice(self.w["openers"][lang]) + r.choice(before)

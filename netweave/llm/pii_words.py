@@ -14,13 +14,18 @@ TRAINED = {
         "Abigail Adrian Agnes Albert Alina Amara Andrei Anton Arthur Astrid Aurelio Beatriz Benedict Birgit Boris Camille Carlos Cecilia Charlotte Cornelia Cyril Damian Daniela Dieter Dmitri Edith Eduardo Emeka "
         "Emil Esther Fatima Fernanda Florian Frieda Gabriel Georg Giulia Gordon Hannah Hassan Heinrich Helena Ibrahim Irene Isaac Ivana Jakob Janet Joaquin Joseph Judith Kenneth Khalid Kirsten Laurent Leonie "
         "Magnus Marcel Marta Mateo Matilda Michele Monika Natasha Niklas Olga Otto Pascal Philippa Quentin Ralf Renata Rosalind Samir Sigrid Silvio Stella Tamara Tobias Ursula Valerie Viktor Walter Xavier Yusuf Zoe "
-        "Aisha Bjorn Chloe Dagmar Eugenio Finn Gisela Harold Ines Jorge Kaori Lorenzo Mina Noah Ottilie Piotr Raul Svea Thierry Una Vanessa Wilhelm Ximena Yannick Zelda Hugo Meike Oskar"
+        "Aisha Bjorn Chloe Dagmar Eugenio Finn Gisela Harold Ines Jorge Kaori Lorenzo Mina Noah Ottilie Piotr Raul Svea Thierry Una Vanessa Wilhelm Ximena Yannick Zelda Hugo Meike Oskar "
+        "Alfonso Alma Ambrose Anouk Arnold Barnaby Basil Berta Blanca Bruno Celeste Claude Cordula Cosimo Cuthbert Desmond Dolores Dominik Edgar Egon Elfriede Elvira Enrique Ernst Eva Ferdinand Flora Gaston Geraldine "
+        "Gerhard Gilbert Gottfried Graham Gunther Hedwig Horst Humbert Imelda Isabel Jasper Josef Julius Kamila Klaus Lars Leopold Lothar Louise Lukas Manfred Marguerite Mercedes Miriam Mohamed Nora Norbert Octavia Olaf "
+        "Patricia Percival Pilar Ramona Reinhold Rosa Ruth Sandrine Santiago Siegfried Simone Sofia Steffen Tatjana Teresa Timothy Vera Vincent Waltraud Yvonne"
     ).split(),
     "family": (
         "Abernathy Achterberg Almeida Andersson Bachmann Baranova Beaumont Bergstrom Blackwood Bonnard Cabrera Carmichael Chaudhry Cortese Crawford Dahlgren Delacroix Dombrowski Eberhardt Escobar Fairbanks Ferreira "
         "Fitzgerald Fontaine Gallagher Garnier Goldberg Grunwald Gutierrez Hargreaves Hernandez Hoffmann Hutchinson Iglesias Jankowski Johansson Karlsson Kaufmann Kovalenko Lachance Lombardi MacGregor Maldonado "
         "Mbeki Mensah Moreau Nakamura Navarro Nikolaidis Novotny Oliveira Papadakis Pellegrini Quintero Rasmussen Rosenthal Schneider Stevenson Takahashi Thibault Ungerer Vandenberg Villanueva Whitfield Yamamoto "
-        "Zimmermann Adeyemi Barbieri Cheng Dvorak Eriksen Fuchs Greco Hussain Ivanov Jensen Keller Larsson Meyer Nguyen O'Brien Pereira Reyes Silva Torres Urban Vogel Weber Young Zhao Baker Cooper Fisher Miller Taylor"
+        "Zimmermann Adeyemi Barbieri Cheng Dvorak Eriksen Fuchs Greco Hussain Ivanov Jensen Keller Larsson Meyer Nguyen O'Brien Pereira Reyes Silva Torres Urban Vogel Weber Young Zhao Baker Cooper Fisher Miller Taylor "
+        "Aguirre Altmann Ballard Bellini Birnbaum Boucher Braunfels Callahan Chevalier Cisneros Cunningham Dietrich Durand Ellsworth Espinoza Faulkner Fournier Gasparini Haldane Heidegger Ibsen Jaworski Kellermann Lefevre "
+        "Lindgren Machado Marchand Montgomery Nordstrom Obermeier Pacheco Perrault Rautenberg Richelieu Salvatore Schaefer Sheffield Steinbrenner Sundqvist Thackeray Valdez Vermeulen Wainwright Weissmann Winterbottom Zapata"
     ).split(),
     "given_ru": "Алексей Борис Вера Галина Дарья Евгений Жанна Зоя Ирина Кирилл Лариса Максим Никита Оксана Роман Светлана Татьяна Ульяна Фёдор Юрий Яна Артём Валентина Григорий Денис Елизавета Инна Константин Лев Матвей Олег Пётр Руслан Семён Тимофей Эдуард".split(),
     "family_ru": "Абрамов Белова Виноградов Громова Дмитриев Ефимова Жуков Зайцева Ильин Комарова Литвинов Морозова Никитин Орлова Поляков Рябова Сидоров Тарасова Ушаков Филиппова Харитонов Цветкова Чернов Шевченко Щукин Яковлева Кравец Мельник Бондаренко Гайдук Савицкий Островская".split(),
@@ -62,7 +67,7 @@ TRAINED = {
     },
     "nouns": {
         "en": "garden letter soup engine window teacher road winter ticket paper kitchen doctor water music driver morning price report summer table answer bottle horse shop neighbour meeting shelf invoice parcel story".split(),
-        "de": "Garten Brief Suppe Motor Fenster Lehrer Straße Winter Karte Papier Küche Arzt Wasser Musik Fahrer Morgen Preis Bericht Sommer Tisch Antwort Flasche Pferd Laden Nachbar Sitzung Regal Rechnung Paket Geschichte".split(),
+        "de": "Garten Brief Suppe Motor Fenster Lehrer Straße Winter Karte Papier Küche Arzt Wasser Musik Fahrer Morgen Preis Bericht Sommer Tisch Antwort Flasche Pferd Laden Nachbar Sitzung Regal Rechnung Paket Geschichte Wind Schnee Sonne Wolke Leute Kinder Besucher Gäste Mieter Fahrgast Bewohner Händler Bürger Zeitung Wohnung Leitung Ordnung Freiheit Tätigkeit Bäckerei Nachmittag Werkzeug".split(),
         "fr": "jardin lettre soupe moteur fenêtre professeur route hiver billet papier cuisine médecin eau musique chauffeur matin prix rapport été table réponse bouteille cheval boutique voisin réunion étagère facture colis histoire".split(),
         "es": "jardín carta sopa motor ventana maestro camino invierno billete papel cocina médico agua música chófer mañana precio informe verano mesa respuesta botella caballo tienda vecino reunión estante factura paquete historia".split(),
         "ru": "сад письмо суп мотор окно учитель дорога зима билет бумага кухня врач вода музыка водитель утро цена отчёт лето стол ответ бутылка лошадь лавка сосед встреча полка счёт посылка рассказ".split(),
@@ -88,6 +93,8 @@ TRAINED = {
         "ru": "Две Три Наш Эта Каждый Все В На Из Этот У Около".split(), "zh": "这 那 两个 三个 每个 我们的 在 从 所有".split(),
     },
     "links": {"en": ["of ", "from ", "near ", ""], "de": ["von ", "aus ", "in ", "bei ", ""], "fr": ["de ", "de ", "à ", "près de "], "es": ["de ", "de ", "en ", "cerca de "], "ru": ["из ", "в ", "", "", ""], "zh": ["在", "离", "到"]},
+    #: Stems of German adjectives, whose nouns are capitalised like names.
+    "stems": "kalt warm lang kurz schön gut schlecht hell dunkel frisch leicht laut leise billig teuer nass trocken eng breit glatt rau süß sauer hart weich früh spät fremd eigen ganz halb letzt erst nächst viel wenig".split(),
     #: Small words that hold sentences together.
     "small": {
         "en": "the a and or but that which who with without for from to of in on at by about after before is was has had will would can told saw met asked gave took still never again only very his her their its my your it he she they we not because while than more walked wants found heard called said".split(),

@@ -20,7 +20,7 @@ TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 CODES, EMBED, HIDDEN = 420, 24, 48
 WINDOW, OVERLAP = 256, 64
 #: The bound on training: labelled texts and passes over them.
-TEXTS, EPOCHS, BATCH, RATE = 26_000, 4, 40, 0.012
+TEXTS, EPOCHS, BATCH, RATE = 28_000, 4, 40, 0.012
 
 
 def codes(text: str) -> np.ndarray:
