@@ -101,3 +101,86 @@ def test_null_ids_and_long_ids(spark):
     big = (1 << 62) + 1
     df = spark.createDataFrame([(None, None, "p", None, None, '{"a":1}', None), (big, "s", "q", datetime(2025, 1, 1), 3, '{"a":1}', None)], SCHEMA)
     assert found(spark, df)[:2] == ([(big, 1)], [(None, 1)])
+
+
+def dataset(spark, root, files=20):
+    spark.range(400).selectExpr("id", "id % 2 as part").repartition(files).write.partitionBy("part").parquet(f"{root}/data")
+
+
+def ids(spark, root):
+    return sorted(r.id for r in cp.read_version(spark, root).collect())
+
+
+def test_a_dead_writers_claim_runs_out(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    dataset(spark, root)
+    cp.SnapshotLog(spark, root).claim(0)
+    with pytest.raises(cp.Conflict):
+        cp.compact_parquet(spark, root, max_small_files=2)
+    assert cp.compact_parquet(spark, root, max_small_files=2, lease=-1.0).rewritten == 2
+    assert ids(spark, root) == list(range(400)) and len(list(tmp_path.rglob("part*/*.parquet"))) == 2
+    # the dead writer comes back: the version is taken, and what it left is no part of the dataset
+    log = cp.SnapshotLog(spark, root)
+    with pytest.raises(cp.Conflict):
+        log.commit(0, {"claim": "v1.claim-1"})
+
+
+def test_files_appended_before_the_switch_are_a_conflict_and_stay(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    dataset(spark, root)
+    plain, calls = cp.partition_sizes, []
+
+    def late(files, *a):
+        calls.append(1)
+        if len(calls) == 2:  # between the rewrite and the second look at the fingerprints
+            spark.range(400, 410).selectExpr("id", "id % 2 as part").coalesce(1).write.mode("append").partitionBy("part").parquet(f"{root}/data")
+            files = cp.files_at(spark, root)
+        return plain(files, *a)
+
+    monkeypatch.setattr(cp, "partition_sizes", late)
+    with pytest.raises(cp.Conflict):
+        cp.compact_parquet(spark, root, max_small_files=2)
+    monkeypatch.undo()
+    assert ids(spark, root) == list(range(410)) and cp.SnapshotLog(spark, root).current() == 0
+    assert cp.compact_parquet(spark, root, max_small_files=2).rewritten == 2
+    assert ids(spark, root) == sorted(r.id for r in spark.read.parquet(f"{root}/data").collect()) == list(range(410))
+
+
+def test_files_appended_after_the_second_look_stay_part_of_the_dataset(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    dataset(spark, root)
+    commit = cp.SnapshotLog.commit
+
+    def late(self, version, info):
+        spark.range(400, 410).selectExpr("id", "id % 2 as part").coalesce(1).write.mode("append").partitionBy("part").parquet(f"{root}/data")
+        commit(self, version, info)
+
+    monkeypatch.setattr(cp.SnapshotLog, "commit", late)
+    cp.compact_parquet(spark, root, max_small_files=2)
+    assert ids(spark, root) == list(range(410))
+
+
+def test_earlier_versions_stay_readable_and_rounds_are_versions(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    dataset(spark, root)
+    monkeypatch.setattr(cp, "FILES_A_ROUND", 1)
+    done = cp.compact_parquet(spark, root, max_small_files=2, vacuum=False)
+    assert (done.version, done.rewritten) == (2, 2)
+    sizes = [cp.files_at(spark, root, v).count() for v in (0, 1, 2)]
+    assert sizes[0] > sizes[1] > sizes[2] == 2 and all(sorted(r.id for r in cp.read_version(spark, root, version=v).collect()) == list(range(400)) for v in (0, 1, 2))
+
+
+def test_files_of_a_partition_are_near_the_target(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    spark.range(40_000).selectExpr("id", "uuid() as text", "0 as part").repartition(40).write.partitionBy("part").parquet(f"{root}/data")
+    before = cp.files_at(spark, root).agg({"n_bytes": "sum"}).first()[0]
+    cp.compact_parquet(spark, root, max_small_files=2, target_bytes=before // 7)
+    made = [r.n_bytes for r in cp.files_at(spark, root).collect()]
+    assert len(made) in (7, 8) and max(made) < 1.3 * min(made)
+
+
+def test_ingestion_that_would_leave_too_many_files_meets_in_buckets_first(spark):
+    df = files(spark, *['{"hot": 1}\n{"n": %d}\n{"cut' % i for i in range(40)])
+    folded, kept, root = found(spark, df, most_files=1)
+    assert len(folded) == 39 and len(kept) == 41
+    assert cp.read_version(spark, root, cp._STORED).where("kind = 'reject'").count() == 40
