@@ -5,8 +5,14 @@ with the summed weights of their records, are split into tokens and aligned prog
 vote per aligned column with their weights; and of the existing values the one closest to the consensus is emitted.
 A record weighs by the trust in its origin, its completeness, and how far behind the cell's latest record it lies.
 
-Hot groups: equal values collapse in the aggregation. Fields with very many distinct values are aligned in blocks, whose
-profiles are then aligned with each other in rounds, and the distance to the consensus is taken value by value.
+Alignment goes by blocks at every size: ``ceil(distinct values / BLOCK)`` blocks by a hash of the value, each aligned
+progressively, and their profiles aligned with each other in rounds. With one block that is plain progressive alignment.
+A value with more than half of its field's weight wins every column it takes part in, so that it is the consensus
+itself and needs no alignment.
+
+Records that are alone in their cell are copied. Cells of at most BLOCK records come together as rows and are settled in
+one go. Larger cells are never gathered: their values collapse by an aggregation per cell and field, only fields with
+more than one value are aligned, and the distance to the consensus is taken value by value.
 
 Edge cases: a null never competes with a value, a field null in all records stays null; NaN and infinite numbers win only
 where there is nothing else; records without sweep, network or mu form no cell and are their own representatives; ties go
@@ -23,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.session import cut, spread
+from netweave.session import cut, map_rows, shuffle_width, spread
 
 #: Trust by origin of a record; any other origin has DEFAULT_TRUST.
 TRUST = {"primary": 1.0, "cluster": 1.0, "resent": 0.8, "mirror": 0.7, "archive": 0.6}
@@ -97,8 +103,9 @@ def distance(a: list[str], b: list[str]) -> int:
 
 def closest(values: list[tuple[str, float]]) -> str:
     """The existing value closest to the consensus of all."""
-    if len(values) == 1:
-        return values[0][0]
+    heaviest = max(values, key=lambda v: v[1])
+    if 2 * heaviest[1] > sum(w for _, w in values) * (1 + 1e-12):
+        return heaviest[0]
     wanted = vote(profile_of(values))
     return min(values, key=lambda v: (distance(tokens(v[0]), wanted), -v[1], v[0]))[0]
 
@@ -120,18 +127,17 @@ def cells(records: DataFrame) -> DataFrame:
 
 
 def same_cell_pairs(records: DataFrame, block_rows: int = 2000) -> DataFrame:
-    """record_id_a < record_id_b of each two records of one cell.
+    """record_id_a < record_id_b of each two records of one cell; repeated rows count once.
 
     The pairs are the result that is asked for. A cell of more than block_rows records is cut into blocks on one side,
-    so that no task gets a whole hot cell; such cells are at most records / block_rows, so their list may be broadcast.
+    so that no task gets a whole hot cell.
     """
-    held = cells(records).where("cell is not null").select("cell", "record_id")
-    sizes = held.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    heavy = sizes.select("cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"))
-    spread = held.join(F.broadcast(heavy), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    held = cells(records).where("cell is not null").select("cell", "record_id").distinct()
+    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    spread = held.join(sizes.where("blocks > 1"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     left = spread.select("cell", F.col("record_id").alias("record_id_a"), F.pmod(F.hash("record_id"), F.col("blocks")).alias("block"))
     right = spread.select("cell", F.col("record_id").alias("record_id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, ["cell", "block"]).where("record_id_a < record_id_b").select("record_id_a", "record_id_b").distinct()
+    return left.join(right, ["cell", "block"]).where("record_id_a < record_id_b").select("record_id_a", "record_id_b")
 
 
 def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,22 +174,29 @@ def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["cell", "field", "value", "weight", "distance"]]
 
 
-def weighted_values(grouped: DataFrame, fields: list[str]) -> DataFrame:
-    """cell, field, value, weight: the distinct values of each field with the summed weights of their records."""
+def _weight(fields: list[str]) -> Column:
+    """The weight of a record that knows ``newest``, the latest time of its cell."""
     trust = F.coalesce(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])[F.col("origin")], F.lit(DEFAULT_TRUST))
     filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)) / len(fields)
-    newest = grouped.groupBy("cell").agg(F.max("recorded_at").alias("newest"))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     recent = F.coalesce(F.pow(F.lit(0.5), (seconds("newest") - seconds("recorded_at")) / HALF_LIFE_SECONDS), F.lit(0.01))
-    numbers = {n for n, t in grouped.dtypes if t in ("double", "float")}
+    return trust * filled * F.greatest(recent, F.lit(1e-6))
+
+
+#: How much NaN and infinite numbers weigh against others, and the least weight of a value.
+ODD, LEAST = 1e-9, 1e-9
+
+
+def weighted_values(weighed: DataFrame, fields: list[str]) -> DataFrame:
+    """cell, field, value, weight: the distinct values of each field with the summed weights (w) of their records."""
+    numbers = {n for n, t in weighed.dtypes if t in ("double", "float")}
 
     def one(f: str) -> Column:
         odd = (F.isnan(f) | (F.abs(F.col(f)) == float("inf"))) if f in numbers else F.lit(False)
-        return F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.when(odd, 1e-9).otherwise(1.0).alias("sound"))
+        return F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.when(odd, ODD).otherwise(1.0).alias("sound"))
 
-    weighed = grouped.join(newest, "cell").withColumn("w", trust * filled * F.greatest(recent, F.lit(1e-6)))
     each = weighed.select("cell", "w", F.explode(F.array(*map(one, fields))).alias("v")).where("v.value is not null")
-    return each.groupBy("cell", F.col("v.field").alias("field"), F.col("v.value").alias("value")).agg(F.greatest(F.round(F.sum(F.col("w") * F.col("v.sound")), 9), F.lit(1e-9)).alias("weight"))
+    return each.groupBy("cell", F.col("v.field").alias("field"), F.col("v.value").alias("value")).agg(F.greatest(F.round(F.sum(F.col("w") * F.col("v.sound")), 9), F.lit(LEAST)).alias("weight"))
 
 
 def consensus_tokens(hot: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -208,31 +221,68 @@ def consensus_values(values: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = "cell string, field string, value string"
     keys = ["cell", "field"]
     values = cut(values, "values")
-    # fields with many distinct values: at most values / block of them, and their number is that of hot groups
-    many = values.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 4 * block)
-    many = cut(many.withColumn("blocks", F.ceil(F.col("n") / F.lit(block))), "many")
-    few = values.join(F.broadcast(many.select(*keys)), keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("value", "weight")).alias("values"))
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("n"))
+    many = cut(sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / F.lit(block))), "many")
+    few = values.join(many.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.collect_list(F.struct("value", "weight")).alias("values"))
     chosen = few.where("size(values) = 1").select(*keys, F.col("values")[0]["value"].alias("value"))
     chosen = chosen.unionByName(spread(few.where("size(values) > 1")).mapInPandas(_choose, schema))
     if many.isEmpty():
         return chosen
-    hot = values.join(F.broadcast(many), keys).withColumn("block", F.pmod(F.xxhash64("value"), F.col("blocks")))
+    hot = values.join(many, keys).withColumn("block", F.pmod(F.xxhash64("value"), F.col("blocks")))
     wanted = consensus_tokens(hot, many.agg(F.max("blocks")).first()[0], block)
-    # one short list per hot field
-    far = values.join(F.broadcast(wanted), keys).mapInPandas(_distances, f"{schema}, weight double, distance long")
+    # one short list per hot field; the values stay where they are unless Spark finds the lists too large to send
+    far = values.join(wanted, keys).mapInPandas(_distances, f"{schema}, weight double, distance long")
     best = far.groupBy(*keys).agg(F.min(F.struct("distance", (-F.col("weight")).alias("w"), "value")).alias("b")).select(*keys, F.col("b.value").alias("value"))
     return chosen.unionByName(best)
 
 
+def _settle(fields: list[str], numbers: list[bool]):
+    """Per cell: the best value of each field among its few records, given as (w, value of each field as text)."""
+
+    def field(at: int, members: list) -> str | None:
+        weights: dict[str, float] = {}
+        for m in members:
+            v = m[at]
+            if v is not None:
+                weights[v] = weights.get(v, 0.0) + m["w"] * (ODD if numbers[fields.index(at)] and v in ("NaN", "Infinity", "-Infinity") else 1.0)
+        if len(weights) < 2:
+            return next(iter(weights), None)
+        return closest([(v, max(round(w, 9), LEAST)) for v, w in weights.items()])
+
+    def run(found: list, held: list) -> Iterator[tuple]:
+        for cell, members in zip(found, held):
+            yield cell, *(field(f, members) for f in fields)
+
+    return run
+
+
 def representatives(records: DataFrame, fields: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per cell with the best value of each field; records without a cell stand for themselves."""
-    fields = fields or FIELDS
+    """One row per cell with the best value of each field; records without a cell stand for themselves.
+
+    Rows are shuffled once, to their cell. Cells with more than a fair share of a task's rows (at most four per task, so
+    that their list has a bound of its own) are kept out of that shuffle.
+    """
+    spark, fields = records.sparkSession, fields or FIELDS
     kinds = dict(records.dtypes)
     named = cells(records.select("record_id", "sweep_id", "network", "mu", *[f for f in fields]))
     grouped = named.withColumn("cell", F.coalesce("cell", F.concat(F.lit("record "), F.col("record_id").cast("string"))))
-    heads = grouped.groupBy("cell").agg(
-        F.min("record_id").alias("first_record_id"), F.count("*").alias("n_records"), F.max("sweep_id").alias("sweep_id"),
-        F.max(network_meant("network")).alias("network"), F.max(F.expr("try_cast(format_string('%.5e', cast(mu as double)) as double)")).alias("mu"))
-    best = consensus_values(weighted_values(grouped, fields), block)
-    wide = best.groupBy("cell").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).try_cast(kinds[f]).alias(f) for f in fields])
-    return heads.join(wide, "cell", "left").drop("cell")
+    heads = cut(grouped.groupBy("cell").agg(
+        F.min("record_id").alias("first_record_id"), F.count("*").alias("n_records"), F.max("sweep_id").alias("sweep_id"), F.max(network_meant("network")).alias("network"),
+        F.max(F.expr("try_cast(format_string('%.5e', cast(mu as double)) as double)")).alias("mu"), F.max("recorded_at").alias("newest")), "heads")
+    share = (heads.agg(F.sum("n_records")).first()[0] or 0) // (4 * shuffle_width(spark))
+    sized = heads.select("cell", "n_records", "newest")
+    rows = grouped.select("cell", *fields)
+    hottest = sized.where(F.col("n_records") > max(block, share))
+    apart = rows.join(F.broadcast(hottest), "cell")
+    others = rows.join(F.broadcast(hottest.select("cell")), "cell", "left_anti").join(sized, "cell")
+
+    alone = others.where("n_records = 1").select("cell", *fields)
+    texts = F.struct(_weight(fields).alias("w"), *[F.col(f).cast("string").alias(f) for f in fields])
+    some = others.where((F.col("n_records") > 1) & (F.col("n_records") <= block)).groupBy("cell").agg(F.collect_list(texts).alias("members"))
+    some = map_rows(some, _settle(fields, [kinds[f] in ("double", "float") for f in fields]), "cell string, " + ", ".join(f"`{f}` string" for f in fields))
+    best = alone.unionByName(some.select("cell", *[F.col(f).try_cast(kinds[f]).alias(f) for f in fields]))
+    if not heads.where(F.col("n_records") > block).isEmpty():
+        weighed = others.where(F.col("n_records") > block).unionByName(apart).withColumn("w", _weight(fields))
+        hot = consensus_values(weighted_values(weighed, fields), block)
+        best = best.unionByName(hot.groupBy("cell").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).try_cast(kinds[f]).alias(f) for f in fields]))
+    return heads.drop("newest").join(best, "cell", "left").drop("cell")

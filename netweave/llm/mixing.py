@@ -1,9 +1,13 @@
-"""Mixing sources to target weights, by hierarchical budgets over a tree of domains, sources and languages.
+"""Mixing sources to target weights, by hierarchical budgets over a tree of domains, languages and sources.
 
-Every leaf of the tree has a weight and a capacity (its tokens times its allowed repeats). Budgets go down the tree in
-proportion to weights; what a child can't take is first shared among its siblings, and only what none of them can take
-goes back to the ancestor's other children. A leaf's budget is filled by whole epochs and a prefix of one more epoch,
-each epoch in the order of a seeded hash.
+Every leaf of the tree has a weight and a capacity (its tokens times its allowed repeats). A source's weight is spread
+over its languages by their tokens; that of a source without documents over all languages. Budgets go down the tree in
+proportion to weights; what a child can't take is first shared among its siblings, the other sources of its language,
+and only what none of them can take goes back to the ancestor's other children. A leaf's budget is filled by whole epochs
+and a prefix of one more epoch, each epoch in the order of a seeded hash.
+
+Unless a total is given, it is the largest one at which every leaf with documents can take its budget, so that the only
+shares missed are those of sources without documents, and, by their weight, of those that take their place.
 
 The prefix needs no sort of a leaf: documents fall into hash ranges, whose token sums give the ranges that lie fully
 inside the budget; only within the one range that the budget ends in are single documents ordered.
@@ -23,7 +27,7 @@ from netweave.llm.tokenize import VOCABULARY, token_counts
 from netweave.session import cut
 
 RANGES = 4096
-PATH = ("domain", "source", "language")
+PATH = ("domain", "language", "source")
 
 
 def share_out(budget: float, weights: list[float], capacities: list[float]) -> list[float]:
@@ -59,7 +63,7 @@ def tree_budgets(leaves: list[dict], budget: float, path: tuple[str, ...] = PATH
         for i in members:
             children.setdefault(leaves[i][path[level]], []).append(i)
         groups = [children[k] for k in sorted(children, key=lambda k: (k is None, str(k)))]
-        weights = [sum(leaves[i]["weight"] for i in g if leaves[i]["capacity"] > 0) for g in groups]
+        weights = [sum(leaves[i]["weight"] for i in g) for g in groups]
         for g, b in zip(groups, share_out(budget, weights, [sum(leaves[i]["capacity"] for i in g) for g in groups])):
             down(g, level + 1, b)
 
@@ -69,11 +73,19 @@ def tree_budgets(leaves: list[dict], budget: float, path: tuple[str, ...] = PATH
     return out
 
 
+def reachable_total(leaves: list[dict], path: tuple[str, ...] = PATH) -> float:
+    """The largest total at which no leaf with documents falls short of its budget; 0 without such a leaf."""
+    free = [leaf | {"capacity": float("inf") if leaf["capacity"] > 0 else 0.0} for leaf in leaves]
+    parts = tree_budgets(free, 1e6, path)
+    return min((1e6 * leaf["capacity"] / p for leaf, p in zip(leaves, parts) if p > 0), default=0.0)
+
+
 def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, language, n_tokens, copies) and the shares reached per source.
 
-    total: tokens of the mixture; by default those of all documents of the targets' sources, once. Only one row per
-    leaf reaches the driver, of which there are at most sources in ``targets`` times languages.
+    total: tokens of the mixture; by default as many as meet every share that can be met. Shares tell whether the weight
+    was reached within 0.01. Only one row per leaf reaches the driver, of which there are at most sources in ``targets``
+    times languages.
     """
     spark = documents.sparkSession
     named = targets.where("source is not null").groupBy("source").agg(
@@ -88,11 +100,17 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     of_all: dict[str, int] = {}
     for leaf in leaves:
         of_all[leaf["source"]] = of_all.get(leaf["source"], 0) + leaf["tokens"]
+    of_language: dict[str | None, int] = {}
     for leaf in leaves:
+        of_language[leaf["language"]] = of_language.get(leaf["language"], 0) + leaf["tokens"]
         target = of_source[leaf["source"]]
         leaf |= {"domain": "corpus", "weight": target.weight * leaf["tokens"] / of_all[leaf["source"]], "capacity": float(leaf["tokens"] * target.max_repeats)}
-    budgets = tree_budgets(leaves, float(sum(of_all.values()) if total is None else total))
-    plan = [(leaf["source"], leaf["language"], int(b // leaf["tokens"]), float(b - b // leaf["tokens"] * leaf["tokens"])) for leaf, b in zip(leaves, budgets)]
+    for source in of_source.keys() - of_all.keys():
+        for language, tokens in of_language.items():
+            weight = of_source[source].weight * tokens / sum(of_language.values())
+            leaves.append({"source": source, "language": language, "tokens": 0, "domain": "corpus", "weight": weight, "capacity": 0.0})
+    budgets = tree_budgets(leaves, reachable_total(leaves) if total is None else float(total))
+    plan = [(leaf["source"], leaf["language"], int(b // leaf["tokens"]), float(b - b // leaf["tokens"] * leaf["tokens"])) for leaf, b in zip(leaves, budgets) if leaf["tokens"]]
     plan = spark.createDataFrame(plan, "p_source string, p_language string, epochs long, rest double")
 
     # the last, partial epoch: a prefix in the order of a seeded hash
@@ -116,4 +134,5 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("copies").alias("most_copies"))
     shares = named.join(used, "source", "left").na.fill(0, ["n_tokens", "n_documents", "most_copies"])
     whole = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # one row per target
-    return mixed, shares.withColumn("share", F.when(whole > 0, F.col("n_tokens") / whole).otherwise(0.0))
+    shares = shares.withColumn("share", F.when(whole > 0, F.col("n_tokens") / whole).otherwise(0.0))
+    return mixed, shares.withColumn("reached", F.abs(F.col("share") - F.col("weight")) <= 0.01)

@@ -1,6 +1,9 @@
 from datetime import datetime, timedelta
 from itertools import combinations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from netweave.llm import consensus as c
 
 T = datetime(2025, 1, 1)
@@ -66,3 +69,21 @@ def test_records_without_a_cell_and_empty_table(spark):
     df = frame(spark, [record(1, None), record(2, None), record(3, sweep=None)])
     assert c.representatives(df, FIELDS).count() == 3
     assert c.representatives(df.limit(0), FIELDS).count() == 0
+
+
+def test_a_majority_is_its_own_consensus():
+    values = [("gate_r2 north", 2.1), ("gate_r3 south", 1.0), ("gate_r3 northx", 1.0)]
+    assert c.closest(values) == "gate_r2 north" == "".join(c.vote(c.profile_of(values)))
+
+
+def test_the_way_a_cell_is_brought_together_does_not_matter(spark):
+    held = [record(i, mu=2.0 + i % 7, sweep=i % 3, residual=float(f"1.{i * 37 % 11}e-{8 + i % 3}"), stopped=["time budget", "time  budget", None][i % 3], origin=["primary", "archive"][i % 2], hours=i % 5) for i in range(200)]
+    df, out = frame(spark, held), []
+    for width in (FIELDS, FIELDS[::-1]):
+        out.append(sorted(map(repr, (tuple(r[f] for f in ("first_record_id", *FIELDS)) for r in c.representatives(df, width).collect()))))
+    rows = c.cells(df).withColumn("newest", F.max("recorded_at").over(Window.partitionBy("cell"))).withColumn("w", c._weight(FIELDS))
+    apart = {(r.cell, r.field): r.value for r in c.consensus_values(c.weighted_values(rows, FIELDS)).collect()}
+    together = {r.cell: r for r in c.cells(c.representatives(df, FIELDS)).collect()}
+    assert out[0] == out[1] and len(together) == 21
+    assert all(str(together[cell][f]) == v for (cell, f), v in apart.items() if f in ("origin", "stopped_on"))
+    assert all(together[cell][f] == float(v) for (cell, f), v in apart.items() if f == "residual")

@@ -53,3 +53,20 @@ def test_unreachable_targets_and_seeds(spark):
 def test_empty_table(spark):
     rows, shares = mix(spark, [], [("s", 1.0, 1)])
     assert rows.count() == 0 and shares.first().share == 0
+
+
+def test_default_total_meets_every_share_that_can_be_met(spark):
+    docs = [("a bridge is closed until Monday", "en", "big")] * 4000 + [("mehr wissen wir nicht", "de", "big")] * 2000 + [("the toll rises", "en", "mid")] * 900 + [("der Zoll steigt", "de", "mid")] * 500
+    _, shares = mix(spark, docs, [("big", 0.45, 1), ("mid", 0.45, 2), ("gone", 0.1, 2)])
+    got = {r.source: r for r in shares.collect()}
+    assert got["gone"].share == 0 and not got["gone"].reached
+    assert got["big"].share == pytest.approx(0.5, abs=0.01) and got["mid"].share == pytest.approx(0.5, abs=0.01)
+    assert got["mid"].most_copies == 2
+
+
+def test_a_source_without_documents_leaves_its_weight_to_its_siblings():
+    leaf = lambda language, source, weight, capacity: {"domain": "c", "language": language, "source": source, "weight": weight, "capacity": capacity}
+    leaves = [leaf("en", "x", 0.3, 1e9), leaf("en", "gone", 0.3, 0.0), leaf("de", "x", 0.4, 1e9)]
+    assert m.tree_budgets(leaves, 100.0) == pytest.approx([60.0, 0.0, 40.0])
+    assert m.reachable_total([leaf("en", "x", 0.5, 10.0), leaf("en", "y", 0.5, 100.0)]) == pytest.approx(20.0)
+    assert m.reachable_total([]) == 0
