@@ -130,11 +130,11 @@ def same_cell_pairs(records: DataFrame, block_rows: int = 2000) -> DataFrame:
     """record_id_a < record_id_b of each two records of one cell; repeated rows count once.
 
     The pairs are the result that is asked for. A cell of more than block_rows records is cut into blocks on one side,
-    so that no task gets a whole hot cell.
+    so that no task gets a whole hot cell; the list of such cells is written first, so that Spark knows its size.
     """
-    held = cells(records).where("cell is not null").select("cell", "record_id").distinct()
+    held = cut(cells(records).where("cell is not null").select("cell", "record_id").distinct(), "held")
     sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    spread = held.join(sizes.where("blocks > 1"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = held.join(cut(sizes.where("blocks > 1"), "heavy"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     left = spread.select("cell", F.col("record_id").alias("record_id_a"), F.pmod(F.hash("record_id"), F.col("blocks")).alias("block"))
     right = spread.select("cell", F.col("record_id").alias("record_id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     return left.join(right, ["cell", "block"]).where("record_id_a < record_id_b").select("record_id_a", "record_id_b")
