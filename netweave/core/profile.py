@@ -1,6 +1,7 @@
 """Column-level data quality profile from file footers, dictionaries and, where needed, scans.
 
-Files are listed by Spark and spread over tasks. A task reads the footer of each file: nulls are exact there,
+Files are listed by Spark, a first small job lists the row groups from their footers, and row groups are spread over
+tasks. A task reads the footer of its file: nulls are exact there,
 extrema too unless missing. Distinct candidates come from the chunk's dictionary page when all its data pages use
 it. A chunk is scanned only when that isn't enough: no statistics, no complete dictionary, a dictionary that holds
 NaN (which extrema leave out and nobody counts), or a value outside the column's rule.
@@ -51,7 +52,13 @@ class Rule:
         return isinstance(v, (int, float)) and not self.low <= v <= self.high
 
 
+#: Schemes of Hadoop's connectors and what Arrow calls them.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
+
+
 def _open(path: str):
+    for theirs, ours in SCHEMES.items():
+        path = ours + path.removeprefix(theirs) if path.startswith(theirs) else path
     fs, name = pafs.FileSystem.from_uri(path if re.match(r"^[a-z0-9]+:/", path) else f"file://{path}")
     return fs.open_input_file(re.sub("^/+", "/", name))
 
@@ -122,21 +129,34 @@ def dictionary_values_typed(file, chunk, text: bool, timed: bool, kind) -> list
     return values
 
 
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """file and group of each row group, from the footers alone, spread over as many tasks as there are groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with _open(name) as file:
+                    n = pq.ParquetFile(file).metadata.num_row_groups
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32())], ["file", "group"])
+
+    files = data_files(spark, path).select("file")
+    groups = cut(files.repartition(max(1, min(files.count(), 4096))).mapInArrow(run, "file string, group int"), "groups")
+    return groups.repartition(max(1, min(groups.count(), 100_000)), "file", "group")
+
+
 def chunk_profiles(spark: SparkSession, path: str, rules: dict[str, Rule]) -> DataFrame:
     """One row per column chunk (more where its candidates are very many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, group in zip(batch.column("file").to_pylist(), batch.column("group").to_pylist()):
                 with _open(name) as file:
                     reader = pq.ParquetFile(file)
                     flat = [c for c in range(reader.metadata.num_columns) if "." not in reader.schema.column(c).path]
-                    for group in range(reader.metadata.num_row_groups):
-                        rows = [r for c in flat for r in _profile_chunk(file, reader, group, c, rules.get(reader.schema.column(c).path))]
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows = [r for c in flat for r in _profile_chunk(file, reader, group, c, rules.get(reader.schema.column(c).path))]
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    files = data_files(spark, path).select("file")
-    return files.repartition(max(1, min(files.count(), 4096))).mapInArrow(run, _CHUNKS)
+    return row_groups(spark, path).mapInArrow(run, _CHUNKS)
 
 
 _ARROW = pa.schema([
@@ -169,7 +189,7 @@ LEAST_VALUES = 10
 
 
 def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The needed columns of the row groups, read in tasks by file.
+    """The needed columns of the row groups.
 
     Null shares, spreads and rules across columns of each load are asked for, which no footer of a group of many
     loads can settle; so every group is scanned, in these columns alone.
@@ -178,14 +198,13 @@ def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, group in zip(batch.column("file").to_pylist(), batch.column("group").to_pylist()):
                 with _open(name) as file:
                     reader = pq.ParquetFile(file)
-                    for rows in reader.iter_batches(BLOCK, columns=NEEDED):
+                    for rows in reader.iter_batches(BLOCK, row_groups=[group], columns=NEEDED):
                         yield pa.RecordBatch.from_arrays([rows.column(n).cast(schema.field(n).type) for n in NEEDED], schema=schema)
 
-    files = data_files(spark, path).select("file")
-    return files.repartition(max(1, min(files.count(), 4096))).mapInArrow(run, _NEEDED)
+    return row_groups(spark, path).mapInArrow(run, _NEEDED)
 
 
 def _impossible() -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is empty, as in local tests, a temporary folder is used.
+    Only where that setting is empty and Spark is local, as in tests, a temporary folder is used; executors on other
+    machines could not read it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-netweave-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", shared)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/netweave/{what}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-netweave-")
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write a frame into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_dir(df.sparkSession, what)
