@@ -161,3 +161,16 @@ def type_files(files: DataFrame) -> DataFrame:
     each = file_schemas(files).select(F.explode("fields").alias("f"))
     kinds = F.array_distinct(F.concat(F.array(F.coalesce("f.first", F.lit("null"))), "f.inner"))
     return each.select(F.col("f.name").alias("field"), F.explode(kinds).alias("json_type")).groupBy("field", "json_type").agg(F.count("*").alias("n_files"))
+
+
+def column_summary(table: DataFrame) -> DataFrame:
+    """quantity, data_type, n_values, total, n_true of each column of a union table: values that survived the cast, the
+    sum of numbers (to three digits) and the number of true ones."""
+    held = {n.removeprefix("r_"): (n, t) for n, t in table.dtypes if n.startswith("r_")}
+    one = lambda q, n, t: F.struct(
+        F.lit(q).alias("quantity"), F.lit(t).alias("data_type"), F.count(n).alias("n_values"),
+        (F.sum(F.round(n, 3).cast("decimal(28,3)")).cast("double") if t == "double" else F.lit(None).cast("double")).alias("total"),
+        (F.count_if(n) if t == "boolean" else F.lit(None).cast("long")).alias("n_true"))
+    rows = [one(q, n, t) for q, (n, t) in held.items()]
+    none = table.sparkSession.createDataFrame([], "quantity string, data_type string, n_values long, total double, n_true long")
+    return table.agg(F.array(*rows).alias("c")).select(F.explode("c").alias("c")).select("c.*") if rows else none

@@ -36,6 +36,14 @@ def p3_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.type_files(table(spark, sf_dir, "sink_files"))
 
 
+def p3_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.union_table(table(spark, sf_dir, "sink_files"))
+
+
+def p3_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.column_summary(drift.union_table(table(spark, sf_dir, "sink_files")))
+
+
 def _p4_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("certificate_sweep", "flows_manifest", "flow_directories")]
 
@@ -74,6 +82,8 @@ QUERIES = {
     "p2_rungs": p2_rungs,
     "p3_found": p3_found,
     "p3_types": p3_types,
+    "p3_union": p3_union,
+    "p3_columns": p3_columns,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
@@ -85,6 +95,12 @@ lines as (select sink, file_id, written_at, i as line_no, trim(ltrim(string_spli
           from sink_files, unnest(range(1, len(string_split(coalesce(body, ''), chr(10))) + 1)) u(i)),
 records as (select sink, file_id, written_at, line_no, line from lines where line like '{%' and json_valid(line))"""
 
+#: The names in the given tables that mean one quantity; the operator finds them by their words, the SQL is told.
+_RENAMED = [
+    ["budget_s", "budget_seconds", "budgetSeconds"], ["peak_rss", "peak_rss_mb"], ["windows_held", "env_windows_held", "envelope_windows_held"], ["unresolved", "is_unresolved", "unresolved_flag"],
+    ["inclusion_envelope_settled", "envelope_settled", "inclusionEnvelopeSettled"],
+]
+
 _P4_SQL = r"""
 with d as (select regexp_replace(regexp_replace(regexp_replace(translate(lower(trim(directory)), '', '/'), '/+', '/', 'g'), '^(\./)+', ''), '^/|/$', '', 'g') k, opened_at s, coalesce(closed_at, timestamp '9999-12-31') e from flow_directories),
 m as (select lower(regexp_replace(trim(flow_file), '^.*[/\\]', '')) k, regexp_extract(lower(trim(flow_sha256)), '^(?:sha-?256[:=])?\s*([0-9a-f]{16})', 1) g, listed_at s, coalesce(removed_at, timestamp '9999-12-31') e from flows_manifest),
@@ -141,6 +157,16 @@ SQL = {
     "p2_rungs": f"""with {TIED_SQL}, l as (select record_id, face_pos, {_items_sql("(face->'$.ladder.trail')")} l from faces), e as (select record_id, face_pos, generate_subscripts(l, 1)::int - 1 rung_pos, unnest(l) r from l)
 select record_id, face_pos, rung_pos, coalesce(r->>'rung', '') rung, coalesce(r->>'phase', '') as phase, coalesce(r->>'status', '') status from e where json_type(r) = 'OBJECT'""",
     "p5_profile": "select * from (" + " union all ".join(map(_column_sql, _REAL + _WHOLE + _WORDS + _TIMES)) + ") t(column_name, n_rows, n_null, n_nan, n_violations, lo, hi, lo_text, hi_text, n_distinct)",
+    "p3_columns": f"""with {_LINES_SQL},
+k as (select file_id, line_no, line, unnest(json_keys(line)) field from records),
+g(field, grp) as (values {", ".join(f"('{f}', {i})" for i, fields in enumerate(_RENAMED) for f in fields)}),
+t as (select file_id, line_no, k.field, coalesce('g' || grp, k.field) grp, line->>('$."' || k.field || '"') v, json_type(line, '$."' || k.field || '"') jt from k left join g using (field)),
+q as (select grp, arg_max(field, (length(field), field)) quantity, list_distinct(list(case jt when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end) filter (jt <> 'NULL')) kinds from t group by 1),
+ty as (select grp, quantity, case when coalesce(len(kinds), 0) = 0 then 'string' when len(kinds) = 1 then case kinds[1] when 'number' then 'double' when 'boolean' then 'boolean' else 'string' end
+  when list_contains(kinds, 'object') or list_contains(kinds, 'array') or list_contains(kinds, 'string') then 'string' else 'double' end data_type from q),
+r as (select grp, file_id, line_no, arg_min(v, field) filter (v is not null) v from t group by all),
+c as (select quantity, data_type, case data_type when 'double' then try_cast(v as double)::varchar when 'boolean' then try_cast(v as boolean)::varchar else v end v from r join ty using (grp))
+select quantity, data_type, count(v) n_values, case when data_type = 'double' then sum(round(try_cast(v as double), 3)::decimal(28,3)) filter (data_type = 'double')::double end total, case when data_type = 'boolean' then count_if(v = 'true') end n_true from c group by quantity, data_type""",
     "p3_types": f"""with {_LINES_SQL},
 k as (select file_id, line, unnest(json_keys(line)) field from records),
 t as (select file_id, field, case json_type(line, '$."' || field || '"') when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'number' end json_type from k),

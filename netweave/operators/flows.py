@@ -68,10 +68,10 @@ def deposits(manifest: DataFrame, flows: DataFrame) -> DataFrame:
     return listed.withColumn("k", F.row_number().over(Window.partitionBy("network", "mu").orderBy("listed_at", "deposit_id")))
 
 
-def latest_flows(flows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The flows of the latest deposit of each cell; the last one listed wins."""
-    last = deposits(manifest, flows).groupBy("network", "mu").agg(F.max_by("deposit_id", F.struct("listed_at", "deposit_id")).alias("deposit_id"))
-    return flows.join(last.select("deposit_id"), "deposit_id", "left_semi")
+def latest_flows(raw: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The clean flows of the latest deposit of each cell; the last one listed wins. Only its raw rows are cleaned."""
+    last = deposits(manifest, raw).groupBy("network", "mu").agg(F.max_by("deposit_id", F.struct("listed_at", "deposit_id")).alias("deposit_id"))
+    return clean_flows(raw.join(last.select("deposit_id"), "deposit_id", "left_semi"))
 
 
 def deposit_gaps(flows: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -100,12 +100,15 @@ def running_means(flows: DataFrame, manifest: DataFrame) -> DataFrame:
     return steps.select("deposit_id", "link_id", F.round(F.sum(F.col("x").cast("decimal(28,6)")).over(w).cast("double") / F.count("*").over(w) + NUDGE, 6).alias("mean_x"))
 
 
-def contested_links(flows: DataFrame, manifest: DataFrame, window: int = 5) -> DataFrame:
-    """Links whose membership is undecided over the last ``window`` supports of a cell: used in some, not in all."""
-    steps = deposits(manifest, flows)
+def contested_links(raw: DataFrame, manifest: DataFrame, window: int = 5) -> DataFrame:
+    """Links whose membership is undecided over the last ``window`` supports of a cell: used in some, not in all.
+
+    Only the raw rows of those deposits are cleaned.
+    """
+    steps = deposits(manifest, raw)
     size = steps.groupBy("network", "mu").agg(F.max("k").alias("n"))
     recent = steps.join(size, ["network", "mu"]).where(F.col("k") > F.col("n") - window).select("deposit_id", F.least("n", F.lit(window)).alias("w"))
-    used = flows.where(F.col("x") > USED).join(recent, "deposit_id")
+    used = clean_flows(raw.join(recent.select("deposit_id"), "deposit_id", "left_semi")).where(F.col("x") > USED).join(recent, "deposit_id")
     return used.groupBy("network", "mu", "link_id").agg(F.count("*").alias("n_supports"), F.max("w").alias("w")).where(F.col("n_supports") < F.col("w")).select("network", "mu", "link_id", "n_supports")
 
 
@@ -143,3 +146,23 @@ def flow_digests(flows: DataFrame) -> DataFrame:
     row = F.format_string("%06d:%.6f", F.col("link_id"), F.col("x"))
     return flows.groupBy("deposit_id").agg(F.concat_ws(";", F.sort_array(F.collect_list(row))).alias("t")).select(
         "deposit_id", F.substring(F.sha2("t", 256), 1, 16).alias("digest"), F.length("t").cast("long").alias("n_bytes"))
+
+
+def contested_top(contested: DataFrame, k: int = 4) -> DataFrame:
+    """The k links of each cell that the most supports contest; ties go to the smaller link."""
+    place = F.row_number().over(Window.partitionBy("network", "mu").orderBy(F.desc("n_supports"), "link_id"))
+    return contested.withColumn("place", place).where(F.col("place") <= k)
+
+
+def support_ages(flows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Per cell: distinct supports, the step at which the newest was first seen, and how many steps ago that was."""
+    label = F.format_string("%06d", F.col("link_id"))
+    used = flows.groupBy("deposit_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.when(F.col("x") > USED, label)))), 256).alias("digest"))
+    first = deposits(manifest, flows).join(used, "deposit_id").groupBy("network", "mu", "digest").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    return first.groupBy("network", "mu").agg(F.count("*").alias("n_supports"), F.max("first").alias("newest"), (F.max("last") - F.max("first")).alias("age"))
+
+
+def face_sizes(contested: DataFrame, links: DataFrame) -> DataFrame:
+    """Per cell: contested links and the distinct pairs of nodes they join, whichever way."""
+    both = contested.join(links.select("network", "link_id", "tail", "head"), ["network", "link_id"])
+    return both.groupBy("network", "mu").agg(F.count("*").alias("n_links"), F.count_distinct(F.least("tail", "head"), F.greatest("tail", "head")).alias("n_node_pairs"))

@@ -68,27 +68,32 @@ def opposite_groups(links: DataFrame) -> DataFrame:
 def demand(networks: DataFrame) -> DataFrame:
     """Demand between each two zones of a network, by a fixed rule; none within a zone."""
     zones = F.sequence(F.lit(0), F.col("n_zones") - 1)
-    pairs = networks.select("network", "n_zones", F.explode(zones).alias("origin")).withColumn("dest", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)))
+    pairs = networks.where("n_zones > 0").select("network", "n_zones", F.explode(zones).alias("origin")).withColumn("dest", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)))
     amount = 10.0 * (1 + (F.col("origin") * 7 + F.col("dest") * 13) % 10) / F.col("n_zones")
     return pairs.where("origin <> dest").select("network", "origin", "dest", amount.alias("demand"))
 
 
-def potentials_by_rounds(links: DataFrame, networks: DataFrame, max_rounds: int = 500) -> DataFrame:
+class Unfinished(RuntimeError):
+    """Rounds ran out before the fixed point; no partial answer is given."""
+
+
+def potentials_by_rounds(links: DataFrame, networks: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Least cost from each node to each zone, as rounds of join and aggregation until nothing changes.
 
-    A round only extends the rows that the last round improved, and drops what isn't better than what is known.
+    A round only extends the rows that the last round improved, and drops what isn't better than what is known. Costs
+    aren't negative, so as many rounds as the longest least path has links are enough; more than max_rounds raise.
     """
     edges = flagged(links, networks).select("network", "tail", "head", "cost", (F.col("no_thru") & (F.col("head") < F.col("n_zones"))).alias("zone_head"))
     edges = cut(edges, "edges")
-    known = cut(networks.select("network", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)).alias("dest")).select("network", "dest", F.col("dest").alias("node"), F.lit(0.0).alias("pi"), F.lit(True).alias("new")), "pi")
+    known = cut(networks.where("n_zones > 0").select("network", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)).alias("dest")).select("network", "dest", F.col("dest").alias("node"), F.lit(0.0).alias("pi"), F.lit(True).alias("new")), "pi")
     for _ in range(max_rounds):
         front = known.where("new").select("network", "dest", F.col("node").alias("head"), "pi")
         steps = front.join(edges, ["network", "head"]).where("not zone_head or head = dest").select("network", "dest", F.col("tail").alias("node"), (F.col("cost") + F.col("pi")).alias("pi"), F.lit(True).alias("new"))
         best = known.withColumn("new", F.lit(False)).unionByName(steps).groupBy("network", "dest", "node").agg(F.min(F.struct("pi", "new")).alias("m"))
         known = cut(best.select("network", "dest", "node", "m.pi", "m.new"), "pi")
         if known.where("new").isEmpty():
-            break
-    return known.drop("new")
+            return known.drop("new")
+    raise Unfinished(f"potentials still fall after {max_rounds} rounds")
 
 
 def potentials(links: DataFrame, networks: DataFrame) -> DataFrame:
@@ -138,7 +143,7 @@ def support_sizes(g: DataFrame) -> DataFrame:
     return g.groupBy("network", "dest").agg(F.count_if(efficient()).alias("n_support"), F.count_if(eligible()).alias("n_eligible"))
 
 
-def reached(support: DataFrame, wanted: DataFrame, max_rounds: int = 500) -> DataFrame:
+def reached(support: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Nodes that flow can occupy: from demanded origins along the support, in rounds until nothing is new."""
     support = cut(support.select("network", "dest", "tail", "head"), "support")
     known = cut(wanted.select("network", "dest", F.col("origin").alias("node")).distinct().withColumn("new", F.lit(True)), "reach")
@@ -147,8 +152,8 @@ def reached(support: DataFrame, wanted: DataFrame, max_rounds: int = 500) -> Dat
         both = known.withColumn("new", F.lit(False)).unionByName(steps)
         known = cut(both.groupBy("network", "dest", "node").agg(F.min("new").alias("new")), "reach")
         if known.where("new").isEmpty():
-            break
-    return known.drop("new")
+            return known.drop("new")
+    raise Unfinished(f"new nodes are still reached after {max_rounds} rounds")
 
 
 def margin_table(g: DataFrame, reach: DataFrame, tolerance: float = TIE) -> DataFrame:
@@ -175,27 +180,31 @@ def unreachable(networks: DataFrame, pi: DataFrame) -> DataFrame:
     return networks.select("network").join(lost.groupBy("network").agg(F.count("*").alias("n_pairs"), exact_sum(F.col("demand")).alias("lost")), "network", "left").na.fill(0)
 
 
-def cycle_links(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Links that can lie on a cycle: nodes without an in- or out-link are stripped in rounds until none is left."""
-    left = cut(links.where("tail <> head").select("network", "link_id", "tail", "head"), "cycle")
+def cycle_links(links: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """Links on a directed cycle, or between nodes that a cycle reaches; a self-loop is a cycle.
+
+    Nodes that no link enters are stripped with their links, in rounds, until every node that is left is entered.
+    """
+    left = cut(links.select("network", "link_id", "tail", "head"), "cycle")
     n = left.count()
     for _ in range(max_rounds):
-        heads, tails = left.select("network", F.col("head").alias("tail")).distinct(), left.select("network", F.col("tail").alias("head")).distinct()
-        left = cut(left.join(heads, ["network", "tail"], "left_semi").join(tails, ["network", "head"], "left_semi"), "cycle")
+        left = cut(left.join(left.select("network", F.col("head").alias("tail")).distinct(), ["network", "tail"], "left_semi"), "cycle")
         m = left.count()
         if m == n:
             return left.select("network", "link_id")
         n = m
-    return left.select("network", "link_id")
+    raise Unfinished(f"links are still stripped after {max_rounds} rounds")
 
 
-def tight_hops(g: DataFrame, networks: DataFrame, tolerance: float = COST_MINIMAL, max_rounds: int = 500) -> DataFrame:
+def tight_hops(g: DataFrame, networks: DataFrame, tolerance: float = COST_MINIMAL, max_rounds: int = 100_000) -> DataFrame:
     """Per network the most hops of a least-cost path between two zones, over links of positive gap without slack."""
     tight = cut(g.where((F.abs(F.col("cost") - F.col("gap")) <= tolerance) & (F.col("gap") > tolerance) & (F.col("tail") != F.col("dest"))).select("network", "dest", "tail", "head"), "tight")
-    front = networks.select("network", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)).alias("dest")).withColumn("head", F.col("dest"))
+    front = networks.where("n_zones > 0").select("network", F.explode(F.sequence(F.lit(0), F.col("n_zones") - 1)).alias("dest")).withColumn("head", F.col("dest"))
     reach = front.select("network", "dest", F.col("head").alias("node"), F.lit(0).alias("hops"))
     front = cut(front, "front")
-    for hop in range(1, max_rounds):
+    for hop in range(1, max_rounds + 2):
+        if hop > max_rounds:
+            raise Unfinished(f"paths still grow after {max_rounds} hops")
         front = cut(front.join(tight, ["network", "dest", "head"]).select("network", "dest", F.col("tail").alias("head")).distinct(), "front")
         if front.isEmpty():
             break
@@ -230,3 +239,29 @@ def violating_pairs(bad: DataFrame) -> DataFrame:
     """Per cell and link: how many destinations it violates, and the destination with the widest gap."""
     worst = F.max(F.struct(F.round(F.abs("gap"), 6).alias("gap"), (-F.col("dest")).alias("dest")))
     return bad.groupBy("network", "mu", "link_id").agg(F.count("*").alias("n_destinations"), worst.alias("w")).select("network", "mu", "link_id", "n_destinations", F.col("w.gap").alias("worst_gap"), (-F.col("w.dest")).alias("worst_dest"))
+
+
+#: Limits of the pre-flight report. Capacities at most LEAST_CAPACITY count as none; above the load ratio at
+#: which ratio ** power leaves a double's range (10 ** (DECADES / power)) costs stand still.
+LEAST_CAPACITY, DECADES, MOST_EMPTY, MOST_LOST, MOST_UNIT, STEEP, ORDINARY_RATIO = 1e-9, 250.0, 0.01, 0.001, 0.5, 10.0, 1e6
+
+
+def network_report(links: DataFrame, networks: DataFrame, lost: DataFrame) -> DataFrame:
+    """Per network what is degenerate in it, with a warning for each limit passed; lost: network, n_pairs, lost.
+
+    Isolated nodes are those that no link touches. A network without links has zero counts and null extrema.
+    """
+    ends = links.select("network", F.explode(F.array("tail", "head")).alias("node")).distinct().groupBy("network").agg(F.count("*").alias("touched"))
+    counts = links.groupBy("network").agg(
+        F.count("*").alias("found_links"), F.count_if(F.col("capacity") <= LEAST_CAPACITY).alias("zero_capacity"), F.count_if(F.col("capacity") == 1.0).alias("unit_capacity"),
+        F.count_if(F.col("fft") <= 0).alias("zero_free_flow"), F.count_if(F.col("tail") == F.col("head")).alias("self_loops"), F.max("power").alias("max_power"))
+    total = demand(networks).groupBy("network").agg(exact_sum(F.col("demand")).alias("demand"))
+    all_ = networks.select("network", "n_nodes", "n_zones").join(counts, "network", "left").join(ends, "network", "left").join(lost, "network", "left").join(total, "network", "left")
+    numbers = ["found_links", "zero_capacity", "unit_capacity", "zero_free_flow", "self_loops", "touched", "n_pairs", "lost", "demand"]
+    all_ = all_.na.fill(0, numbers).withColumn("isolated_nodes", F.col("n_nodes") - F.col("touched")).withColumn("clamp_ratio", F.when(F.col("max_power") > 0, F.round(DECADES / F.col("max_power"), 6)))
+    warnings = F.array_compact(F.array(
+        F.when(F.col("demand") <= 0, "no demand"), F.when(F.col("lost") > MOST_LOST * F.col("demand"), "demand lost"), F.when(F.col("zero_capacity") > MOST_EMPTY * F.col("found_links"), "zero capacities"),
+        F.when(F.col("self_loops") > 0, "self-loops"), F.when((F.col("unit_capacity") > MOST_UNIT * F.col("found_links")) & (F.col("max_power") > STEEP), "unit capacities under a steep exponent"),
+        F.when(F.col("clamp_ratio") < F.log10(F.lit(ORDINARY_RATIO)), "costs stand still at ordinary ratios")))
+    return all_.select("network", "n_nodes", "n_zones", F.col("found_links").alias("n_links"), "zero_capacity", "unit_capacity", "zero_free_flow", "self_loops", "isolated_nodes", F.col("n_pairs").alias("lost_pairs"),
+                       "lost", "max_power", F.col("clamp_ratio").alias("clamp_decades"), F.array_join(warnings, "; ").alias("warnings"))

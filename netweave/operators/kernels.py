@@ -42,12 +42,10 @@ class Graph:
     def support(self, pi: np.ndarray) -> np.ndarray:
         """The efficient links of each destination."""
         t, h = pi[self.tail], pi[self.head]
-        mask = h < t
-        if self.zdc:
-            mask |= (self.tail < self.z)[:, None]
-        if self.no_thru:
-            mask &= ~(self.head < self.z)[:, None]
-        return (mask | self.to_dest) & np.isfinite(t) & np.isfinite(h) & ~self.from_dest
+        # the first rule that speaks wins, as in operators.graph.efficient
+        rules = [(self.from_dest, False), (self.to_dest, True), (self.no_thru & (self.head < self.z)[:, None], False), (self.zdc & (self.tail < self.z)[:, None], True)]
+        said = np.select([np.broadcast_to(c, t.shape) for c, _ in rules], [np.full(t.shape, v) for _, v in rules], h < t)
+        return said & np.isfinite(t) & np.isfinite(h)
 
     def load(self, cost: np.ndarray, demand: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray, Support]:
         """Flow, potentials and support at a cost; demand that no way serves stays out."""

@@ -91,7 +91,7 @@ coalesce(sum(round(net, 6)::decimal(28,6)) filter (not through and net > 0), 0):
 _query(
     "latest_flows",
     f"with {_CLEAN}, {_STEPS} select deposit_id, network, mu, link_id, round(x, 6) x from clean where deposit_id in (select arg_max(deposit_id, k) from steps group by network, mu)",
-)(lambda t: fl.latest_flows(t.clean, t.flows_manifest).select("deposit_id", "network", "mu", "link_id", F.round("x", 6).alias("x")))
+)(lambda t: fl.latest_flows(t.flows, t.flows_manifest).select("deposit_id", "network", "mu", "link_id", F.round("x", 6).alias("x")))
 _SQ = "sqrt(sum(round(({0}) * ({0}), 6)::decimal(28,6))::double)"
 _query(
     "relative_gap",
@@ -112,7 +112,20 @@ _query(
     "contested_links",
     f"""with {_CLEAN}, {_STEPS}, r as (select deposit_id, network, mu, least(n, 5) w from (select *, max(k) over (partition by network, mu) n from steps) where k > n - 5)
 select network, mu, link_id, count(*) n_supports from clean join r using (deposit_id, network, mu) where x > 1e-6 group by all having count(*) < max(w)""",
-)(lambda t: fl.contested_links(t.clean, t.flows_manifest))
+)(lambda t: fl.contested_links(t.flows, t.flows_manifest))
+_CONTESTED = f"""{_CLEAN}, {_STEPS}, r as (select deposit_id, network, mu, least(n, 5) w from (select *, max(k) over (partition by network, mu) n from steps) where k > n - 5),
+cont as (select network, mu, link_id, count(*) n_supports from clean join r using (deposit_id, network, mu) where x > 1e-6 group by all having count(*) < max(w))"""
+_query("contested_top", f"with {_CONTESTED} select *, row_number() over (partition by network, mu order by n_supports desc, link_id) place from cont qualify place <= 4")(
+    lambda t: fl.contested_top(fl.contested_links(t.flows, t.flows_manifest))
+)
+_query("face_sizes", f"with {_CONTESTED} select network, mu, count(*) n_links, count(distinct (least(tail, head), greatest(tail, head))) n_node_pairs from cont join links using (network, link_id) group by all")(
+    lambda t: fl.face_sizes(fl.contested_links(t.flows, t.flows_manifest), t.links)
+)
+_query(
+    "support_ages",
+    f"""with {_CLEAN}, {_STEPS}, d as (select deposit_id, coalesce(string_agg(link_id, ',' order by link_id) filter (x > 1e-6), '') s from clean group by 1),
+f as (select network, mu, s, min(k) fst, max(k) lst from steps join d using (deposit_id) group by all) select network, mu, count(*) n_supports, max(fst) newest, max(lst) - max(fst) age from f group by all""",
+)(lambda t: fl.support_ages(t.clean, t.flows_manifest))
 _ENV = f"""{_CLEAN}, {_STEPS}, s as (select *, (k - 1) // 4 as block from steps), full_ as (select network, mu, block from s group by all having count(*) = 4),
 u as (select network, mu, block, link_id, count(*) n from clean join s using (deposit_id, network, mu) where x > 1e-6 group by all)"""
 _query(
@@ -204,7 +217,7 @@ bad as (select network, mu, dest, link_id, gap, coalesce(ux, 0) x from f where (
 
 
 def _bad(t: Tables) -> DataFrame:
-    used = fl.latest_flows(t.clean, t.flows_manifest).where(F.col("x") > fl.USED)
+    used = fl.latest_flows(t.flows, t.flows_manifest).where(F.col("x") > fl.USED)
     return gr.claimed(t.gaps, used, 1e-5)
 
 
@@ -212,8 +225,32 @@ _query("admissibility", f"{_BAD} select network, mu, count(*) n_violations, roun
 _query("violating_pairs", f"{_BAD} select network, mu, link_id, count(*) n_destinations, max(round(abs(gap), 6)) worst_gap, arg_min(dest, (-round(abs(gap), 6), dest)) worst_dest from bad group by all")(
     lambda t: gr.violating_pairs(_bad(t))
 )
-_query("cycle_links")(lambda t: gr.cycle_links(t.congested.where("x > 0")))
-_query("longest_tight_path")(lambda t: gr.tight_hops(t.gaps, t.networks, 1e-5))
+_query(
+    "network_report",
+    f"""{_PI}, od as (select network, o, d, 10.0::double * (1 + (o * 7 + d * 13) % 10) / n_zones demand from networks, unnest(range(0, n_zones)) a(o), unnest(range(0, n_zones)) b(d) where o <> d),
+ld as (select od.* from od left join pi p on p.network = od.network and p.node = od.o and p.dest = od.d where p.pi is null),
+lo as (select network, count(*) n_pairs, sum(round(demand, 6)::decimal(28,6))::double lost from ld group by 1), dm as (select network, sum(round(demand, 6)::decimal(28,6))::double demand from od group by 1),
+e as (select network, count(distinct node) touched from (select network, tail node from links union all select network, head from links) group by 1),
+c as (select network, count(*) n_links, count_if(capacity <= 1e-9) zero_capacity, count_if(capacity = 1) unit_capacity, count_if(fft <= 0) zero_free_flow, count_if(tail = head) self_loops, max(power) max_power from links group by 1),
+a as (select n.network, n.n_nodes, n.n_zones, coalesce(c.n_links, 0) n_links, coalesce(zero_capacity, 0) zero_capacity, coalesce(unit_capacity, 0) unit_capacity, coalesce(zero_free_flow, 0) zero_free_flow, coalesce(self_loops, 0) self_loops,
+  n.n_nodes - coalesce(touched, 0) isolated_nodes, coalesce(n_pairs, 0) lost_pairs, coalesce(lost, 0)::double lost, max_power, case when max_power > 0 then round(250 / max_power, 6) end clamp_decades, coalesce(demand, 0) demand
+  from networks n left join c using (network) left join e using (network) left join lo using (network) left join dm using (network))
+select * exclude (demand), concat_ws('; ', case when demand <= 0 then 'no demand' end, case when lost > 0.001 * demand then 'demand lost' end, case when zero_capacity > 0.01 * n_links then 'zero capacities' end, case when self_loops > 0 then 'self-loops' end,
+  case when unit_capacity > 0.5 * n_links and max_power > 10 then 'unit capacities under a steep exponent' end, case when clamp_decades < 6 then 'costs stand still at ordinary ratios' end) warnings from a""",
+)(lambda t: gr.network_report(t.links, t.networks, gr.unreachable(t.networks, gr.potentials(t.congested, t.networks))))
+_query(
+    "cycle_links",
+    f"""with recursive {_GRAPH}, l as (select network, link_id, tail, head from cong where x > 0),
+r as (select network, tail a, head b from l union select r.network, r.a, l.head from r join l on l.network = r.network and l.tail = r.b),
+c as (select network, a from r where a = b), stuck as (select network, a node from c union select r.network, r.b from r join c on c.network = r.network and c.a = r.a)
+select l.network, l.link_id from l join stuck s on s.network = l.network and s.node = l.tail join stuck t on t.network = l.network and t.node = l.head""",
+)(lambda t: gr.cycle_links(t.congested.where("x > 0")))
+_query(
+    "longest_tight_path",
+    f"""{_GAPS}, tight as (select distinct network, dest, tail, head from g where abs(cost - gap) <= 1e-5 and gap > 1e-5 and tail <> dest),
+hp as (select network, d dest, d node, 0 hops from networks, unnest(range(0, n_zones)) u(d) union select h.network, h.dest, t.tail, h.hops + 1 from hp h join tight t on t.network = h.network and t.dest = h.dest and t.head = h.node)
+select network, max(hops) most_hops from hp join networks using (network) where node < n_zones group by 1""",
+)(lambda t: gr.tight_hops(t.gaps, t.networks, 1e-5))
 _query("value_pass")(lambda t: certificate.values(t.congested, t.networks, 1.0).withColumn("value", F.round("value", 6)))
 _query("flow_load")(lambda t: certificate.loads(t.congested, t.networks, (1.0, 5.0)).withColumn("y", F.round("y", 5)))
 
@@ -337,6 +374,6 @@ _query(
     f"with {_REC} select exhibit, network, count(*) n_records, count(residual) filter (not isnan(residual) and abs(residual) < 'inf'::double) n_residuals, sum(iterations)::bigint total_iterations from rec group by all",
 )(lambda t: sinks.roundtrip(t.corpus_sweep))
 _query("stream_daily", "select strftime(recorded_at, '%Y-%m-%d') as day, count(*) n_records, count_if(coalesce(converged, false)) n_converged from corpus_sweep where recorded_at is not null group by 1")(
-    lambda t: st.monthly_counts(t.spark, f"{t.dir}/corpus_sweep.parquet")
+    lambda t: st.daily_counts(t.spark, f"{t.dir}/corpus_sweep.parquet")
 )
 _query("stream_latest", f"with {_REC}, {_LAST} select network, mu, record_id, iterations from last_")(lambda t: st.latest_cells(t.spark, f"{t.dir}/corpus_sweep.parquet"))

@@ -5,7 +5,9 @@ time, b, power, ... ending in a semicolon. A demand file lists ``Origin n`` and
 text by Spark; each line or origin is parsed by Column expressions.
 
 Edge cases: blank lines, lines that begin with ~ or <, and lines whose numbers don't parse are skipped; a missing power
-is 4; of repeated pairs the later one holds; pairs outside the zones are dropped; an empty file gives an empty table.
+is 4; of repeated pairs the later one holds; an empty file gives an empty table. Files that don't belong together are
+refused rather than guessed at: zone counts that differ, and origins that are no zone of the network. Destinations that
+are none are dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 TAGS = {"n_zones": "NUMBER OF ZONES", "n_nodes": "NUMBER OF NODES", "first_thru": "FIRST THRU NODE", "n_links": "NUMBER OF LINKS"}
 
 
+class Mismatch(ValueError):
+    """Files that don't describe the same network."""
+
+
 def _name():
     return F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"_(net|trips)\.tntp$", "")
 
@@ -53,3 +59,56 @@ def read_demand(spark: SparkSession, path: str, networks: DataFrame) -> DataFram
     last = pairs.groupBy("network", "origin", "dest").agg(F.max_by("demand", F.struct("pos", "at")).alias("demand"))
     inside = last.join(networks.select("network", "n_zones"), "network").where("origin between 1 and n_zones and dest between 1 and n_zones and demand is not null")
     return inside.select("network", (F.col("origin") - 1).alias("origin"), (F.col("dest") - 1).alias("dest"), "demand")
+
+
+def zone_mismatches(spark: SparkSession, path: str, networks: DataFrame) -> DataFrame:
+    """Per demand file what speaks against its network: zones it declares, the network's, and origins that are no zone."""
+    text = spark.read.text(path, wholetext=True).select(_name().alias("network"), "value")
+    ids = F.transform(F.regexp_extract_all("value", F.lit(r"Origin\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    told = text.select("network", F.regexp_extract("value", rf"<{TAGS['n_zones']}>\s*(\d+)", 1).try_cast("int").alias("declared"), ids.alias("ids"))
+    both = told.join(networks.select("network", "n_zones"), "network", "left")
+    strange = F.array_distinct(F.filter("ids", lambda x: (x < 1) | (x > F.col("n_zones"))))
+    return both.withColumn("strange", strange).where(F.col("n_zones").isNull() | (F.col("declared") != F.col("n_zones")) | (F.size("strange") > 0)).select("network", "declared", "n_zones", "strange")
+
+
+def read_matched(spark: SparkSession, networks_path: str, demand_path: str, fft_floor: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Networks, links and demand of files that belong together; raises Mismatch, naming the first few that don't."""
+    networks = read_networks(spark, networks_path)
+    odd = zone_mismatches(spark, demand_path, networks).orderBy("network").limit(5).collect()
+    if odd:
+        raise Mismatch("; ".join(f"{r.network}: {r.declared} zones declared, {r.n_zones} in the network, no zones: {(r.strange or [])[:5]}" for r in odd))
+    return networks, read_links(spark, networks_path, networks, fft_floor), read_demand(spark, demand_path, networks)
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """name, network_file, demand_file of each folder of root that holds both; the first of several by name.
+
+    Folders that begin with an underscore are left out. Only the listing is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tntp").load(root).select("path")
+    named = files.select("path", F.element_at(F.split("path", "/"), -2).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file")).where(~F.col("name").startswith("_"))
+    kinds = [(r"_net\.tntp$", "network_file"), (r"_trips.*\.tntp$", "demand_file")]
+    found = named.groupBy("name").agg(*[F.min(F.when(F.col("file").rlike(p), F.col("path"))).alias(c) for p, c in kinds])
+    return found.where("network_file is not null and demand_file is not null")
+
+
+def select(cat: DataFrame, names: list[str] | None = None, max_links: int | None = None, networks: DataFrame | None = None) -> DataFrame:
+    """The named entries of a catalog (all, if none are named), with at most max_links links by the networks' headers.
+
+    Raises KeyError for names that the catalog doesn't have. ``networks`` (network, n_links) is needed with max_links.
+    """
+    if names is not None:
+        wanted = cat.sparkSession.createDataFrame([(n.strip(), i) for i, n in enumerate(names)], "name string, place int")
+        missing = sorted(r.name for r in wanted.join(cat, "name", "left_anti").collect())
+        if missing:
+            raise KeyError(f"not in the catalog: {', '.join(missing)}")
+        cat = cat.join(wanted, "name")
+    if max_links is not None:
+        cat = cat.join(networks.where(F.col("n_links") <= max_links).select(F.col("network").alias("name")), "name", "left_semi")
+    return cat
+
+
+def load_named(spark: SparkSession, root: str, name: str, fft_floor: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Networks, links and demand of one catalog entry."""
+    entry = select(catalog(spark, root), [name]).first()
+    return read_matched(spark, entry.network_file, entry.demand_file, fft_floor)

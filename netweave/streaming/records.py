@@ -23,19 +23,24 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
     return stream.parquet(path)
 
 
-def monthly_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Records and converged ones per calendar day of recording; days older than the watermark are final."""
+def daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Records and converged ones per calendar day of recording.
+
+    In update mode: a batch puts out only the days it changed, state of days older than the watermark is dropped, and
+    rows later than that no longer count. A day's last row holds; a batch that comes twice writes the same folder again.
+    """
     root = work_dir(spark, "stream")
     rows = _stream(spark, path).withColumn("at", F.col("recorded_at").cast("timestamp")).where("at is not null").withWatermark("at", "365 days")
     counts = rows.groupBy(F.window("at", "1 day")).agg(F.count("*").alias("n_records"), F.count_if("converged").alias("n_converged"))
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_records", "n_converged").write.mode("overwrite").parquet(f"{root}/out/{epoch % 2}")
-        batch.sparkSession.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("append").parquet(f"{root}/epochs")
+        changed = batch.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n_records", "n_converged")
+        changed.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{root}/epochs").agg(F.max("epoch")).first()[0]
-    return spark.read.parquet(f"{root}/out/{last % 2}")
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    last = out.groupBy("day").agg(F.max_by(F.struct("n_records", "n_converged"), "epoch").alias("last"))
+    return last.select("day", "last.n_records", "last.n_converged")
 
 
 def latest_cells(spark: SparkSession, path: str) -> DataFrame:

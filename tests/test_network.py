@@ -43,19 +43,12 @@ def test_kernels_keep_the_invariants(case):
                     slow[g.tail[e], d] = min(slow[g.tail[e], d], cost[e] + slow[g.head[e], d])
     assert np.array_equal(pi, slow)
     mask = g.support(pi)
-    for d in range(g.z):
-        for e in range(len(cost)):
-            t, h = pi[g.tail[e], d], pi[g.head[e], d]
-            want = h < t
-            if g.zdc and g.tail[e] < g.z:
-                want = True
-            if g.no_thru and g.head[e] < g.z:
-                want = False
-            if g.head[e] == d:
-                want = True
-            if not (np.isfinite(t) and np.isfinite(h)) or g.tail[e] == d:
-                want = False
-            assert mask[e, d] == want
+    first = lambda *rules: next(said for meets, said in rules if meets)
+    zone = lambda node: node < g.z
+    for (e, d), got in np.ndenumerate(mask):
+        tail, head = g.tail[e], g.head[e]
+        cut_off = np.isinf(pi[tail, d]) or np.isinf(pi[head, d])
+        assert got == first((cut_off or tail == d, False), (head == d, True), (g.no_thru and zone(head), False), (g.zdc and zone(tail), True), (True, pi[tail, d] > pi[head, d]))
     demand = np.where(np.isfinite(pi), zone_demand(g.n, g.z), 0.0)
     support = Support(g, mask, pi)
     assert not support.cyclic.any() and np.array_equal(support.mask, mask)
@@ -231,3 +224,65 @@ def test_sinks_and_fingerprints(spark, tmp_path):
 def test_latest_record_wins(spark, rows):
     df = spark.sql("select * from values ('a', 1.0D, 5L, timestamp_ntz'2025-01-01', null), ('a', 1.0D, 4L, timestamp_ntz'2025-01-02', 'x'), ('a', 1.0D, 9L, null, 'y') t(network, mu, record_id, recorded_at, note)")
     assert rows(rc.latest(df), "record_id", "note") == [(4, "x")]
+
+
+def test_rounds_that_run_out_give_no_partial_answer(spark):
+    net = spark.createDataFrame([("n", 1, 6, None)], "network string, n_zones int, n_nodes int, first_thru int")
+    chain = spark.createDataFrame([("n", i, i + 1, i, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0) for i in range(5)], "network string, link_id int, tail int, head int, cost double, capacity double, fft double, b double, power double, x double")
+    assert gr.potentials_by_rounds(chain, net, max_rounds=6).count() == 6
+    g = spark.createDataFrame([("n", 0, i + 1, i, 1.0, 1.0) for i in range(5)], "network string, dest int, tail int, head int, cost double, gap double")
+    wanted = spark.createDataFrame([("n", 5, 0)], "network string, origin int, dest int")
+    ring = chain.limit(0).unionByName(spark.createDataFrame([("n", i, i, i + 1, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0) for i in range(4)], chain.schema))
+    assert gr.reached(g, wanted, max_rounds=6).count() == 6 and gr.cycle_links(ring, max_rounds=6).count() == 0
+    for run in (lambda: gr.potentials_by_rounds(chain, net, max_rounds=2), lambda: gr.reached(g, wanted, max_rounds=2), lambda: gr.cycle_links(ring, max_rounds=2), lambda: gr.tight_hops(g, net, max_rounds=2)):
+        with pytest.raises(gr.Unfinished):
+            run()
+
+
+def test_cycle_links_are_those_on_a_cycle_or_reached_by_one(spark):
+    rows = [(0, 0, 1), (1, 1, 2), (2, 2, 0), (3, 2, 3), (4, 3, 4), (5, 5, 0), (6, 6, 6)]
+    links = spark.createDataFrame([("n", *r) for r in rows], "network string, link_id int, tail int, head int")
+    assert sorted(r.link_id for r in gr.cycle_links(links).collect()) == [0, 1, 2, 3, 4, 6]
+    assert gr.cycle_links(links.limit(0)).count() == 0
+
+
+def test_matched_files_catalog_and_selection(spark, rows, tmp_path):
+    head = "<NUMBER OF ZONES> {z}\n<NUMBER OF NODES> 4\n<FIRST THRU NODE> 1\n<NUMBER OF LINKS> {n}\n<END OF METADATA>\n"
+    for name, zones, origin, n in (("A", 2, 1, 3), ("B", 3, 1, 9), ("C", 2, 77, 3), ("_D", 2, 1, 3)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}_net.tntp").write_text(head.format(z=2, n=n) + "1 3 100 1 0.5 0.15 4 ;\n")
+        (tmp_path / name / f"{name}_trips.tntp").write_text(f"<NUMBER OF ZONES> {zones}\n<END OF METADATA>\nOrigin {origin}\n 2 : 5.0; 9 : 1;\n")
+    (tmp_path / "E").mkdir()
+    (tmp_path / "E" / "E_net.tntp").write_text(head.format(z=2, n=3))
+    cat = tntp.catalog(spark, str(tmp_path))
+    assert rows(cat, "name") == [("A",), ("B",), ("C",)]
+    net, links, demand = tntp.load_named(spark, str(tmp_path), "A")
+    assert net.first().n_zones == 2 and links.count() == 1 and rows(demand) == [("A", 0, 1, 5.0)]
+    for name in "BC":
+        with pytest.raises(tntp.Mismatch):
+            tntp.load_named(spark, str(tmp_path), name)
+    networks = tntp.read_networks(spark, str(tmp_path / "[ABC]" / "*_net.tntp"))
+    assert rows(tntp.select(cat, max_links=3, networks=networks), "name") == [("A",), ("C",)]
+    assert rows(tntp.select(cat, ["B", " A"]), "name") == [("A",), ("B",)]
+    with pytest.raises(KeyError):
+        tntp.select(cat, ["A", "Z"])
+
+
+def test_network_report_warns(spark):
+    net = spark.createDataFrame([("n", 2, 5, None), ("empty", 0, 0, None)], "network string, n_zones int, n_nodes int, first_thru int")
+    links = spark.createDataFrame([("n", 0, 0, 2, 0.0, 1.0, 0.1, 60.0), ("n", 1, 2, 2, 1.0, 0.0, 0.1, 4.0)], "network string, link_id int, tail int, head int, capacity double, fft double, b double, power double")
+    lost = spark.createDataFrame([("n", 2, 20.0), ("empty", 0, 0.0)], "network string, n_pairs long, lost double")
+    r = {x.network: x for x in gr.network_report(links, net, lost).collect()}
+    assert (r["n"].zero_capacity, r["n"].self_loops, r["n"].isolated_nodes, r["n"].zero_free_flow, r["n"].unit_capacity) == (1, 1, 3, 1, 1)
+    assert r["n"].warnings == "demand lost; zero capacities; self-loops; costs stand still at ordinary ratios" and r["empty"].warnings == "no demand"
+
+
+def test_top_contested_ages_and_faces(spark, rows):
+    contested = spark.createDataFrame([("n", 1.0, i, s) for i, s in ((0, 1), (1, 3), (2, 3), (3, 2), (4, 1), (5, 1))], "network string, mu double, link_id int, n_supports long")
+    assert rows(fl.contested_top(contested, 4), "place", "link_id") == [(1, 1), (2, 2), (3, 3), (4, 0)]
+    links = spark.createDataFrame([("n", i, i % 2, (i + 1) % 2) for i in range(6)], "network string, link_id int, tail int, head int")
+    assert rows(fl.face_sizes(contested, links)) == [("n", 1.0, 6, 1)]
+    at = lambda d: f"timestamp_ntz'2025-01-0{d} 00:00:00'"
+    manifest = spark.range(1, 5).selectExpr("id as entry_id", "timestampadd(DAY, id, " + at(1) + ") as listed_at")
+    flows = spark.createDataFrame([(d, "n", 1.0, link, 1.0) for d, held in ((1, [0]), (2, [0, 1]), (3, [0]), (4, [0])) for link in held], "deposit_id long, network string, mu double, link_id int, x double")
+    assert rows(fl.support_ages(flows, manifest)) == [("n", 1.0, 2, 2, 2)]
