@@ -117,21 +117,31 @@ def changes(files: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame
     of = quantities(schemas)
     lookup = F.create_map(*[F.lit(x) for pair in (of or {"": ""}).items() for x in pair])
 
-    names = schemas.select("sink", "chunk", *order, F.col("fields.name").alias("names"))
-    steps = lag_over_chunks(names, ["sink"], order, "names", "was").where("was is not null")
+    # what one file hands on to the next: its names, and the last type of each quantity that tells one
+    typed = F.filter("fields", lambda f: f["last"].isNotNull())
+    types = F.map_from_entries(F.transform(typed, lambda f: F.struct(lookup[f["name"]], f["last"])))
+    states = schemas.select("sink", "chunk", *order, "fields", F.struct(F.col("fields.name").alias("names"), types.alias("types")).alias("state"))
+    steps = cut(lag_over_chunks(states, ["sink"], order, "state", "was"), "steps")
+
     meant = lambda c: F.transform(c, lambda n: lookup[n])
-    steps = steps.select("sink", *order, F.array_except("names", "was").alias("new"), F.array_except("was", "names").alias("gone"))
-    drift = steps.select("sink", "file_id", F.explode(F.concat(
+    names = steps.where("was is not null").select("sink", *order, F.array_except("state.names", "was.names").alias("new"), F.array_except("was.names", "state.names").alias("gone"))
+    drift = names.where("size(new) + size(gone) > 0").select("sink", "file_id", F.explode(F.concat(
         F.transform("new", lambda n: F.struct(n.alias("field"), F.when(F.array_contains(meant(F.col("gone")), lookup[n]), "renamed").otherwise("added").alias("drift"))),
         F.transform(F.filter("gone", lambda n: ~F.array_contains(meant(F.col("new")), lookup[n])), lambda n: F.struct(n.alias("field"), F.lit("removed").alias("drift"))),
     )).alias("d")).select("sink", "file_id", "d.field", "d.drift")
 
-    # the last type of a quantity lives on under its new name
-    typed = schemas.select("sink", "chunk", *order, F.explode("fields").alias("f")).select(
-        "sink", "chunk", *order, F.col("f.name").alias("field"), lookup[F.col("f.name")].alias("quantity"), "f.first", "f.last", (F.size("f.inner") > 0).alias("mixed")
-    ).where("last is not null")
-    typed = lag_over_chunks(typed, ["sink", "quantity"], order, "last", "was")
-    retyped = typed.where(F.col("mixed") | (F.col("was") != F.col("first"))).select("sink", "file_id", "field", F.lit("retyped").alias("drift"))
+    # most types are compared with the file before; only where a quantity starts to tell a type after files without one
+    # is the type it ended with looked up, among such starts and ends alone. It lives on under a new name.
+    before, now = F.coalesce("was.types", F.create_map().cast("map<string,string>")), F.col("state.types")
+    mixed = lambda f: F.size(f["inner"]) > 0
+    event = lambda q, name, kind, mix: F.struct(q.alias("quantity"), name.alias("field"), kind.alias("type"), mix.alias("mixed"))
+    changed = F.filter(typed, lambda f: before[lookup[f["name"]]].isNotNull() & (mixed(f) | (before[lookup[f["name"]]] != f["first"])))
+    starts = F.transform(F.filter(typed, lambda f: before[lookup[f["name"]]].isNull()), lambda f: event(lookup[f["name"]], f["name"], f["first"], mixed(f)))
+    ends = F.transform(F.filter(F.map_keys(before), lambda q: now[q].isNull()), lambda q: event(q, F.lit(None).cast("string"), before[q], F.lit(False)))
+    here = steps.select("sink", "file_id", F.explode(F.transform(changed, lambda f: f["name"])).alias("field"))
+    events = steps.select("sink", "chunk", *order, F.explode(F.concat(starts, ends)).alias("e")).select("sink", "chunk", *order, "e.*")
+    events = lag_over_chunks(events, ["sink", "quantity"], order, "type", "was").where(F.col("field").isNotNull() & (F.col("mixed") | (F.col("was") != F.col("type"))))
+    retyped = here.unionByName(events.select("sink", "file_id", "field")).withColumn("drift", F.lit("retyped"))
     fresh = drift.where("drift <> 'removed'").select("sink", "file_id", "field")
     on = [retyped.sink.eqNullSafe(fresh.sink), retyped.file_id.eqNullSafe(fresh.file_id), retyped.field == fresh.field]
     return drift.unionByName(retyped.join(fresh, on, "left_anti"))
