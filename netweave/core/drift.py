@@ -118,28 +118,33 @@ def changes(files: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame
     lookup = F.create_map(*[F.lit(x) for pair in (of or {"": ""}).items() for x in pair])
 
     # what one file hands on to the next: its names, and the last type of each quantity that tells one
-    typed = F.filter("fields", lambda f: f["last"].isNotNull())
-    types = F.map_from_entries(F.transform(typed, lambda f: F.struct(lookup[f["name"]], f["last"])))
-    states = schemas.select("sink", "chunk", *order, "fields", F.struct(F.col("fields.name").alias("names"), types.alias("types")).alias("state"))
-    steps = cut(lag_over_chunks(states, ["sink"], order, "state", "was"), "steps")
-
+    told = F.transform(F.filter("fields", lambda f: f["last"].isNotNull()), lambda f: F.struct(
+        f["name"].alias("field"), lookup[f["name"]].alias("quantity"), f["first"].alias("type"), f["last"].alias("last"), (F.size(f["inner"]) > 0).alias("mixed")))
+    states = schemas.select("sink", "chunk", *order, F.col("fields.name").alias("names"), told.alias("told"))
+    states = states.select("*", F.struct("names", F.map_from_arrays("told.quantity", "told.last").alias("types")).alias("state"))
+    steps = lag_over_chunks(states, ["sink"], order, "state", "was")
+
+    # names against the names before; types mostly against the file before. Only where a quantity starts to tell a type
+    # after files without one is the type it ended with looked up, among such starts and ends alone. It lives on under a
+    # new name.
+    new, gone = F.array_except("names", "was.names"), F.array_except("was.names", "names")
     meant = lambda c: F.transform(c, lambda n: lookup[n])
-    names = steps.where("was is not null").select("sink", *order, F.array_except("state.names", "was.names").alias("new"), F.array_except("was.names", "state.names").alias("gone"))
-    drift = names.where("size(new) + size(gone) > 0").select("sink", "file_id", F.explode(F.concat(
-        F.transform("new", lambda n: F.struct(n.alias("field"), F.when(F.array_contains(meant(F.col("gone")), lookup[n]), "renamed").otherwise("added").alias("drift"))),
-        F.transform(F.filter("gone", lambda n: ~F.array_contains(meant(F.col("new")), lookup[n])), lambda n: F.struct(n.alias("field"), F.lit("removed").alias("drift"))),
-    )).alias("d")).select("sink", "file_id", "d.field", "d.drift")
-
-    # most types are compared with the file before; only where a quantity starts to tell a type after files without one
-    # is the type it ended with looked up, among such starts and ends alone. It lives on under a new name.
-    before, now = F.coalesce("was.types", F.create_map().cast("map<string,string>")), F.col("state.types")
-    mixed = lambda f: F.size(f["inner"]) > 0
+    steps = steps.withColumn("new", new).withColumn("gone", gone).withColumn("before", F.coalesce("was.types", F.create_map().cast("map<string,string>")))
+    change = lambda n, kind: F.struct(n.alias("field"), kind.alias("drift"))
+    named = F.concat(
+        F.transform("new", lambda n: change(n, F.when(F.array_contains(meant(F.col("gone")), lookup[n]), "renamed").otherwise("added"))),
+        F.transform(F.filter("gone", lambda n: ~F.array_contains(meant(F.col("new")), lookup[n])), lambda n: change(n, F.lit("removed"))))
     event = lambda q, name, kind, mix: F.struct(q.alias("quantity"), name.alias("field"), kind.alias("type"), mix.alias("mixed"))
-    changed = F.filter(typed, lambda f: before[lookup[f["name"]]].isNotNull() & (mixed(f) | (before[lookup[f["name"]]] != f["first"])))
-    starts = F.transform(F.filter(typed, lambda f: before[lookup[f["name"]]].isNull()), lambda f: event(lookup[f["name"]], f["name"], f["first"], mixed(f)))
+    before, now = F.col("before"), F.col("state.types")
+    changed = F.filter("told", lambda f: before[f["quantity"]].isNotNull() & (f["mixed"] | (before[f["quantity"]] != f["type"])))
+    starts = F.transform(F.filter("told", lambda f: before[f["quantity"]].isNull()), lambda f: event(f["quantity"], f["field"], f["type"], f["mixed"]))
     ends = F.transform(F.filter(F.map_keys(before), lambda q: now[q].isNull()), lambda q: event(q, F.lit(None).cast("string"), before[q], F.lit(False)))
-    here = steps.select("sink", "file_id", F.explode(F.transform(changed, lambda f: f["name"])).alias("field"))
-    events = steps.select("sink", "chunk", *order, F.explode(F.concat(starts, ends)).alias("e")).select("sink", "chunk", *order, "e.*")
+    steps = steps.select("sink", "chunk", *order, F.coalesce(named, F.array().cast("array<struct<field:string,drift:string>>")).alias("named"), F.transform(changed, lambda f: f["field"]).alias("changed"), F.concat(starts, ends).alias("events"))
+    steps = cut(steps.where("size(named) + size(changed) + size(events) > 0"), "steps")
+
+    drift = steps.select("sink", "file_id", F.explode("named").alias("d")).select("sink", "file_id", "d.field", "d.drift")
+    here = steps.select("sink", "file_id", F.explode("changed").alias("field"))
+    events = steps.select("sink", "chunk", *order, F.explode("events").alias("e")).select("sink", "chunk", *order, "e.*")
     events = lag_over_chunks(events, ["sink", "quantity"], order, "type", "was").where(F.col("field").isNotNull() & (F.col("mixed") | (F.col("was") != F.col("type"))))
     retyped = here.unionByName(events.select("sink", "file_id", "field")).withColumn("drift", F.lit("retyped"))
     fresh = drift.where("drift <> 'removed'").select("sink", "file_id", "field")
