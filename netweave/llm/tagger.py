@@ -21,6 +21,9 @@ CODES, EMBED, HIDDEN = 420, 24, 48
 WINDOW, OVERLAP = 256, 64
 #: The bound on training: labelled texts and passes over them.
 TEXTS, EPOCHS, BATCH, RATE = 28_000, 4, 40, 0.012
+#: Added to the score of every tag that begins an item, after training: more recall for a little precision. Chosen on
+#: texts of pii_words.HELD (0.957 and 0.886 without, 0.956 and 0.891 with it).
+LEAN = 0.5
 
 
 def codes(text: str) -> np.ndarray:
@@ -225,6 +228,7 @@ def train(texts: int = TEXTS, epochs: int = EPOCHS, seed: int = 7, log=None) ->
                 model.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         if log:
             log(f"epoch {epoch}: loss {np.mean(losses):.3f}")
+    model.p["c"][1::2] += LEAN
     return model
 
 
