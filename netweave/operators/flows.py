@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions.costs import NUDGE, bpr_cost, bpr_prime, clipped, decades, exact_sum, ratio_cap
+from netweave.session import cut
 
 #: A link counts as used above this flow.
 USED = 1e-6
@@ -166,3 +167,56 @@ def face_sizes(contested: DataFrame, links: DataFrame) -> DataFrame:
     """Per cell: contested links and the distinct pairs of nodes they join, whichever way."""
     both = contested.join(links.select("network", "link_id", "tail", "head"), ["network", "link_id"])
     return both.groupBy("network", "mu").agg(F.count("*").alias("n_links"), F.count_distinct(F.least("tail", "head"), F.greatest("tail", "head")).alias("n_node_pairs"))
+
+
+def representation_residuals(flows: DataFrame, parts: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
+    """Relative sup-norm distance of each cell's target flow from its mixture: network, mu, weight, residual.
+
+    parts: network, mu, deposit_id, weight (null counts as 0); base and target: network, mu, deposit_id. What the weights
+    lack of 1 goes to the base. Each deposit gets one signed coefficient, so that links are met in a single aggregation;
+    a link that a deposit doesn't have is 0 in it. Cells without parts lie on their base; without target they have no row.
+    """
+    cell = ["network", "mu"]
+    total = parts.groupBy(*cell).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    held = base.select(*cell, "deposit_id").join(total, cell, "left").select(*cell, "deposit_id", (1 - F.coalesce("weight", F.lit(0.0))).alias("c"), F.lit(0.0).alias("goal"))
+    all_ = parts.select(*cell, "deposit_id", F.coalesce("weight", F.lit(0.0)).alias("c"), F.lit(0.0).alias("goal")).unionByName(held)
+    all_ = all_.unionByName(target.select(*cell, "deposit_id", F.lit(0.0).alias("c"), F.lit(1.0).alias("goal"))).groupBy(*cell, "deposit_id").agg(F.sum("c").alias("c"), F.max("goal").alias("goal"))
+    per_link = flows.join(all_, [*cell, "deposit_id"]).groupBy(*cell, "link_id").agg(F.sum(F.col("x") * F.col("c")).alias("mixed"), F.sum(F.col("x") * F.col("goal")).alias("wanted"))
+    out = per_link.groupBy(*cell).agg((F.max(F.abs(F.col("mixed") - F.col("wanted"))) / F.greatest(F.max(F.abs("wanted")), F.lit(1e-30))).alias("residual"))
+    return out.join(target.select(*cell), cell, "left_semi").join(total, cell, "left").select(*cell, F.coalesce("weight", F.lit(0.0)).alias("weight"), "residual")
+
+
+def windows_represented(flows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """How far each cell's newest deposit is from the mixture of those before it: the k-th with weight k / n^2, the rest on the first.
+
+    Cells of one deposit are left out.
+    """
+    steps = deposits(manifest, flows)
+    sizes = steps.groupBy("network", "mu").agg(F.max("k").alias("n")).where("n > 1")
+    steps = cut(steps.join(sizes, ["network", "mu"]), "steps")
+    parts = steps.where("k < n").withColumn("weight", F.col("k") / (F.col("n") * F.col("n")))
+    out = representation_residuals(flows, parts, steps.where("k = 1"), steps.where("k = n"))
+    return out.select("network", "mu", F.round(F.col("weight") + NUDGE, 6).alias("weight"), F.round(F.col("residual") + NUDGE, 6).alias("residual"))
+
+
+def comparison(differences: DataFrame, margins: DataFrame) -> DataFrame:
+    """Per network: dispersions and cells compared, difference at the least and the greatest dispersion, fit, span of margins.
+
+    differences: network, mu, difference; margins: network, mu, margin. Null differences are left out. The fit is that of
+    log difference by log dispersion over positive differences, null below three of them or where all are alike.
+    """
+    d = differences.where("difference is not null").join(margins.select("network", "mu", "margin"), ["network", "mu"], "left")
+    x, y = F.log(F.when(F.col("difference") > 0, F.col("mu"))), F.log(F.when(F.col("difference") > 0, F.col("difference")))
+    enough = F.count_if(F.col("difference") > 0) >= 3
+    return d.groupBy("network").agg(
+        F.min("mu").alias("least_mu"), F.max("mu").alias("greatest_mu"), F.count("*").alias("n_cells"), F.min_by("difference", "mu").alias("first_difference"), F.max_by("difference", "mu").alias("last_difference"),
+        F.when(enough, F.round(F.regr_slope(y, x), 6)).alias("slope"), F.when(enough, F.round(F.regr_r2(y, x), 6)).alias("r2"), F.min("margin").alias("least_margin"), F.max("margin").alias("greatest_margin"),
+    )
+
+
+def steps_compared(flows: DataFrame, manifest: DataFrame, certificates: DataFrame) -> DataFrame:
+    """The comparison of each cell's newest deposit with the one before, beside the largest mixture residual of its certificates."""
+    newest = deposits(manifest, flows).groupBy("network", "mu").agg(F.max_by("deposit_id", "k").alias("deposit_id"))
+    differences = newest.join(deposit_gaps(flows, manifest), "deposit_id").select("network", "mu", F.col("gap_max").alias("difference"))
+    held = certificates.where("mixture_residual >= 0 and mixture_residual < double('inf')").groupBy("network", F.round("mu", 6).alias("mu")).agg(F.max("mixture_residual").alias("margin"))
+    return comparison(differences, held)

@@ -265,3 +265,26 @@ def network_report(links: DataFrame, networks: DataFrame, lost: DataFrame) -> Da
         F.when(F.col("clamp_ratio") < F.log10(F.lit(ORDINARY_RATIO)), "costs stand still at ordinary ratios")))
     return all_.select("network", "n_nodes", "n_zones", F.col("found_links").alias("n_links"), "zero_capacity", "unit_capacity", "zero_free_flow", "self_loops", "isolated_nodes", F.col("n_pairs").alias("lost_pairs"),
                        "lost", "max_power", F.col("clamp_ratio").alias("clamp_decades"), F.array_join(warnings, "; ").alias("warnings"))
+
+
+def one_cycle(links: DataFrame, max_doublings: int = 62) -> DataFrame:
+    """Directed cycles that show why a set of links isn't acyclic: network, cycle (its least node), link_id, uses_forward.
+
+    Of what cycle_links leaves, each node is entered by the link of least id; going back along those links from any node
+    ends in a cycle, at least one in each network that has one. Steps back are doubled in each round, so that the rounds
+    are the logarithm of the number of nodes. A link is forward if it has the least id of those between its two nodes.
+    Networks without a cycle have no row.
+    """
+    left = cut(links.select("network", "link_id", "tail", "head").join(cycle_links(links), ["network", "link_id"], "left_semi"), "core")
+    enter = left.groupBy("network", F.col("head").alias("node")).agg(F.min(F.struct("link_id", "tail")).alias("m")).select("network", "node", F.col("m.link_id").alias("link_id"), F.col("m.tail").alias("before"))
+    enter = cut(enter, "enter")
+    jump = enter.select("network", "node", F.col("before").alias("to"), F.least("node", "before").alias("low"))
+    n = enter.groupBy("network").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(min(n.bit_length(), max_doublings)):
+        far = jump.select("network", F.col("node").alias("to"), F.col("to").alias("further"), F.col("low").alias("far_low"))
+        jump = cut(jump.join(far, ["network", "to"]).select("network", "node", F.col("further").alias("to"), F.least("low", "far_low").alias("low")), "jump")
+    on_cycle = jump.select("network", F.col("to").alias("node")).distinct()
+    rows = enter.join(on_cycle, ["network", "node"], "left_semi").join(jump.select("network", "node", F.col("low").alias("cycle")), ["network", "node"])
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    forward = links.groupBy("network", *pair("tail", "head")).agg(F.min("link_id").alias("forward"))
+    return rows.select("network", "cycle", "link_id", *pair("node", "before")).join(forward, ["network", "a", "b"]).select("network", "cycle", "link_id", (F.col("link_id") == F.col("forward")).alias("uses_forward"))

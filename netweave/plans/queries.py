@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from netweave.core.nested import flatten_tied
 from netweave.core.queries import TIED_SQL
+from netweave.functions.costs import NUDGE
 from netweave.operators import flows as fl
 from netweave.operators import graph as gr
+from netweave.operators import loading as ld
 from netweave.operators import records as rc
 from netweave.plans import certificate, equilibrium, tied
 from netweave.session import cut, table
@@ -126,6 +128,22 @@ _query(
     f"""with {_CLEAN}, {_STEPS}, d as (select deposit_id, coalesce(string_agg(link_id, ',' order by link_id) filter (x > 1e-6), '') s from clean group by 1),
 f as (select network, mu, s, min(k) fst, max(k) lst from steps join d using (deposit_id) group by all) select network, mu, count(*) n_supports, max(fst) newest, max(lst) - max(fst) age from f group by all""",
 )(lambda t: fl.support_ages(t.clean, t.flows_manifest))
+_query(
+    "representation_residual",
+    f"""with {_CLEAN}, {_STEPS}, n as (select *, max(k) over (partition by network, mu) n from steps qualify n > 1),
+c as (select *, case when k < n then k / (n * n)::double else 0 end as c from n), d as (select *, sum(c) over (partition by network, mu) as weight from c),
+l as (select network, mu, link_id, weight, sum(x * (c + case when k = 1 then 1 - weight else 0 end)) mixed, sum(case when k = n then x else 0 end) wanted from clean join d using (deposit_id, network, mu) group by all)
+select network, mu, round(weight + 1e-9, 6) as weight, round(max(abs(mixed - wanted)) / greatest(max(abs(wanted)), 1e-30) + 1e-9, 6) residual from l group by all""",
+)(lambda t: fl.windows_represented(t.clean, t.flows_manifest))
+_query(
+    "comparison",
+    f"""with {_CLEAN}, {_STEPS}, p as (select a.network, a.mu, a.deposit_id, b.deposit_id before_id, a.k from steps a join steps b on a.network = b.network and a.mu = b.mu and a.k = b.k + 1 qualify row_number() over (partition by a.network, a.mu order by a.k desc) = 1),
+d as (select p.network, p.mu, round(max(abs(c.x - d.x)) / greatest(max(abs(d.x)), 1e-30), 6) difference from p join clean c on c.deposit_id = p.deposit_id join clean d on d.deposit_id = p.before_id and d.link_id = c.link_id group by all),
+h as (select network, round(mu, 6) mu, max(mixture_residual) margin from certificate_sweep where mixture_residual >= 0 and mixture_residual < 'inf'::double group by all), r as (select * from d left join h using (network, mu))
+select network, min(mu) least_mu, max(mu) greatest_mu, count(*) n_cells, arg_min(difference, mu) first_difference, arg_max(difference, mu) last_difference,
+case when count_if(difference > 0) >= 3 then round(regr_slope(ln(difference), ln(mu)) filter (difference > 0), 6) end slope, case when count_if(difference > 0) >= 3 then round(regr_r2(ln(difference), ln(mu)) filter (difference > 0), 6) end r2,
+min(margin) least_margin, max(margin) greatest_margin from r group by 1""",
+)(lambda t: fl.steps_compared(t.clean, t.flows_manifest, t.certificate_sweep))
 _ENV = f"""{_CLEAN}, {_STEPS}, s as (select *, (k - 1) // 4 as block from steps), full_ as (select network, mu, block from s group by all having count(*) = 4),
 u as (select network, mu, block, link_id, count(*) n from clean join s using (deposit_id, network, mu) where x > 1e-6 group by all)"""
 _query(
@@ -251,8 +269,60 @@ _query(
 hp as (select network, d dest, d node, 0 hops from networks, unnest(range(0, n_zones)) u(d) union select h.network, h.dest, t.tail, h.hops + 1 from hp h join tight t on t.network = h.network and t.dest = h.dest and t.head = h.node)
 select network, max(hops) most_hops from hp join networks using (network) where node < n_zones group by 1""",
 )(lambda t: gr.tight_hops(t.gaps, t.networks, 1e-5))
-_query("value_pass")(lambda t: certificate.values(t.congested, t.networks, 1.0).withColumn("value", F.round("value", 6)))
-_query("flow_load")(lambda t: certificate.loads(t.congested, t.networks, (1.0, 5.0)).withColumn("y", F.round("y", 5)))
+#: supports without the links that don't fall where a destination's links close a cycle (cyc), and with falling links only (strict)
+_SUPPORTS = f"""{_GAPS}, open_ as (select * from s where eff and zdc and not no_thru),
+walk as (select distinct network, dest, head node, 0 hop, n_nodes from open_ union select w.network, w.dest, o.tail, w.hop + 1, w.n_nodes from walk w join open_ o on o.network = w.network and o.dest = w.dest and o.head = w.node where w.hop <= w.n_nodes),
+cyc as (select distinct network, dest from walk where hop > n_nodes),
+m as (select s.network, s.dest, s.link_id, s.tail, s.head, s.cost, s.pi_tail, s.pi_head from s left join cyc c on c.network = s.network and c.dest = s.dest where eff and (c.dest is null or pi_head < pi_tail)),
+ends_ as (select network, d from networks, unnest(range(0, n_zones)) u(d))"""
+_STRICT = f"{_GAPS}, m as (select network, dest, link_id, tail, head, cost, pi_tail, pi_head from s where eff and pi_head < pi_tail), ends_ as (select distinct network, dest d from m)"
+_WEIGHTS = """
+share as materialized (select m.*, mu, exp(greatest(least(-mu * (cost + pi_head - pi_tail), 50), -700)) e from m, (values (1.0::double), (5.0::double)) t(mu)),
+hop as (select network, mu, d dest, d node, 1.0::double w from ends_, (values (1.0::double), (5.0::double)) t(mu)
+  union all select h.network, h.mu, h.dest, s.tail, sum(h.w * s.e) from hop h join share s on s.network = h.network and s.dest = h.dest and s.head = h.node and s.mu = h.mu group by all),
+w as (select network, mu, dest, node, sum(w) w from hop group by all)"""
+_LOAD = f"""{_WEIGHTS},
+p as (select s.network, s.mu, s.dest, s.link_id, s.tail, s.head, s.e * h.w / t.w p from share s join w t on t.network = s.network and t.mu = s.mu and t.dest = s.dest and t.node = s.tail
+  join w h on h.network = s.network and h.mu = s.mu and h.dest = s.dest and h.node = s.head where t.w > 0),
+z as (select network, mu, d dest, o node, 10.0::double * (1 + (o * 7 + d * 13) % 10) / n_zones z from networks, unnest(range(0, n_zones)) a(o), unnest(range(0, n_zones)) b(d), (values (1.0::double), (5.0::double)) t(mu) where o <> d
+  union all select z.network, z.mu, z.dest, p.head, sum(z.z * p.p) from z join p on p.network = z.network and p.mu = z.mu and p.dest = z.dest and p.tail = z.node group by all),
+y as (select p.network, p.mu, p.link_id, sum(z.z * p.p) y from p join z on p.network = z.network and p.mu = z.mu and p.dest = z.dest and p.tail = z.node group by all)"""
+
+_VALUE = """pn as materialized (select network, dest, node, pi from pi), v as (select w.network, w.mu, w.dest, w.node, round(ln(w.w) - w.mu * pn.pi, 6) as value from w join pn using (network, dest, node) where w.w > 0)"""
+_query("value_pass", f"{_SUPPORTS}, {_WEIGHTS}, {_VALUE} select network, dest, node, value from v where mu = 1")(lambda t: certificate.values(t.congested, t.networks, 1.0).withColumn("value", F.round("value", 6)))
+_query(
+    "flow_load",
+    f"{_SUPPORTS}, {_LOAD} select l.network, t.mu, l.link_id::int link_id, round(coalesce(y, 0) + 1e-9, 6) y from lk l cross join (values (1.0::double), (5.0::double)) t(mu) left join y on y.network = l.network and y.mu = t.mu and y.link_id = l.link_id",
+)(lambda t: certificate.loads(t.congested, t.networks, (1.0, 5.0)).withColumn("y", F.round(F.col("y") + NUDGE, 6)))
+
+
+def _strict(t: Tables) -> DataFrame:
+    return t.gaps.where(gr.efficient() & (F.col("pi_head") < F.col("pi_tail")))
+
+
+@_query("load_on_supports", f"{_STRICT}, {_LOAD} select network, mu, link_id, round(y + 1e-9, 6) y from y")
+def _load_on_supports(t: Tables) -> DataFrame:
+    """Demand that some way serves, loaded in rounds on the falling links of each destination's support."""
+    support = cut(_strict(t), "strict")
+    served = gr.demand(t.networks).join(support.select("network", F.col("tail").alias("origin"), "dest").distinct(), ["network", "origin", "dest"], "left_semi")
+    y = ld.load(support, served, (1.0, 5.0))
+    return y.where("y > 0").withColumn("y", F.round(F.col("y") + NUDGE, 6))
+
+
+_query("values_on_supports", f"{_STRICT}, {_WEIGHTS}, {_VALUE} select network, mu, dest, node, value from v")(
+    lambda t: ld.values(_strict(t), (1.0, 5.0)).withColumn("value", F.round("value", 6))
+)
+_query(
+    "cycle_found",
+    f"""with recursive {_GRAPH}, l as (select network, link_id, tail, head from cong where x > 0),
+r as (select network, tail a, head b from l union select r.network, r.a, l.head from r join l on l.network = r.network and l.tail = r.b),
+c as (select network, a from r where a = b), stuck as (select network, a node from c union select r.network, r.b from r join c on c.network = r.network and c.a = r.a),
+e as (select l.network, l.head node, min(l.link_id) link_id, arg_min(l.tail, l.link_id) before from l join stuck s on s.network = l.network and s.node = l.tail group by all),
+b as (select network, node first_, before cur from e union select b.network, b.first_, e.before from b join e on e.network = b.network and e.node = b.cur),
+cy as (select x.network, x.first_ node, min(y.cur) as cycle from b x join b y on y.network = x.network and y.first_ = x.first_ where x.cur = x.first_ group by all),
+f as (select network, least(tail, head) a, greatest(tail, head) b, min(link_id) forward from l group by all)
+select cy.network, cy.cycle, e.link_id, e.link_id = f.forward uses_forward from cy join e on e.network = cy.network and e.node = cy.node join f on f.network = e.network and f.a = least(e.node, e.before) and f.b = greatest(e.node, e.before)""",
+)(lambda t: gr.one_cycle(t.congested.where("x > 0")))
 
 
 @_query("load_conserves")
